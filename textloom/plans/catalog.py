@@ -1,10 +1,478 @@
-"""All queries of the library by name, with the SQL that gives the same rows."""
+"""All queries of the library by name, with the SQL that gives the same rows.
+
+Entities without gold are derived from the documents' tokens: CAP is a capitalised word with the lower-case word after it, NUM a
+number. Predictions are these without every seventh, every fifth a character longer. Relations join a CAP with the next NUM of its sentence.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from textloom.functions import words as fw
+from textloom.operators import annotate, evaluate, features, graph, relations, splits
+from textloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- derived tables, on both sides ---------------------------------------------------------------------------------------
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def tok(spark: SparkSession, sf: str) -> DataFrame:
+    return fw.tokens(read(spark, sf, "documents"))
+
+
+def gold(t: DataFrame) -> DataFrame:
+    nxt = lambda c: F.lead(c).over(annotate.SENTENCE)
+    t = t.withColumns({"w2": nxt("word"), "b2": nxt("b"), "e2": nxt("e")})
+    cap = F.col("word").rlike("^[A-Z][a-z]+$") & F.coalesce(F.col("w2").rlike("^[a-z]+$"), F.lit(False)) & (F.col("b2") == F.col("e") + 1)
+    num = F.col("word").rlike("^[0-9]+$")
+    text = F.when(cap, F.concat_ws(" ", "word", "w2")).otherwise(F.col("word"))
+    return t.filter(cap | num).select("doc_id", "sent_id", F.col("tok_id").alias("ent_id"), F.when(cap, "CAP").otherwise("NUM").alias("class_id"), "b", F.when(cap, F.col("e2")).otherwise(F.col("e")).alias("e"), text.alias("text"))
+
+
+def predicted(g: DataFrame) -> DataFrame:
+    more = (F.col("ent_id") % 5 == 0).cast("int")
+    return g.filter(F.col("ent_id") % 7 != 0).withColumns({"e": F.col("e") + more, "text": F.when(more == 1, F.concat("text", F.lit("?"))).otherwise(F.col("text"))})
+
+
+def gold_relations(g: DataFrame) -> DataFrame:
+    """Each CAP with the first NUM after it in its sentence."""
+    w = W.partitionBy("doc_id", "sent_id").orderBy(F.desc("ent_id")).rowsBetween(W.unboundedPreceding, -1)
+    return g.withColumn("e2", F.last(F.when(F.col("class_id") == "NUM", F.col("ent_id")), True).over(w)).filter("class_id = 'CAP' AND e2 IS NOT NULL").select("doc_id", F.col("ent_id").alias("e1"), "e2")
+
+
+def _sql_rules(x: str) -> str:
+    pats = [("([0-9])([A-Za-z])", 2), ("([a-z])([A-Z])", 2), ("([A-Za-z])([0-9])", 2), ("([a-z])(fs)", 2), ("([^\\x00-\\x7F])", 1), ("([^A-Za-z0-9_\\x1f\\x{80}-\\x{10FFFF}]|[\\-_])", 1)]
+    for p, n in pats:
+        x = f"regexp_replace({x}, '{p}', " + ("'\\1' || chr(31) || '\\2'" if n == 2 else "chr(31) || '\\1' || chr(31)") + ", 'g')"
+    return x
+
+
+TOK = f"""
+s0 AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \\n]+)', '\\1' || chr(30), 'g'), chr(30)) AS a FROM documents),
+s1 AS (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM s0),
+s2 AS (SELECT doc_id, t, i, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) - length(t) AS s FROM s1),
+sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_id, t, s FROM s2 WHERE t <> ''),
+p0 AS (SELECT doc_id, sent_id, s, string_split({_sql_rules('t')}, chr(31)) AS a FROM sent),
+p1 AS (SELECT doc_id, sent_id, s, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM p0),
+p2 AS (SELECT doc_id, sent_id, word, i, s + sum(length(word)) OVER (PARTITION BY doc_id, sent_id ORDER BY i) - length(word) AS b FROM p1),
+tok AS MATERIALIZED (SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, i) - 1 AS INTEGER) AS tok_id, word, CAST(b AS INTEGER) AS b, CAST(b + length(word) AS INTEGER) AS e
+        FROM p2 WHERE regexp_replace(word, '\\s', '', 'g') <> '')"""
+ENT = (
+    TOK
+    + """,
+t2 AS (SELECT *, lead(word) OVER w AS w2, lead(b) OVER w AS b2, lead(e) OVER w AS e2 FROM tok WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)),
+t3 AS (SELECT *, regexp_matches(word, '^[A-Z][a-z]+$') AND coalesce(regexp_matches(w2, '^[a-z]+$'), false) AND b2 = e + 1 AS cap FROM t2),
+gold AS MATERIALIZED (SELECT doc_id, sent_id, tok_id AS ent_id, CASE WHEN cap THEN 'CAP' ELSE 'NUM' END AS class_id, b, CASE WHEN cap THEN e2 ELSE e END AS e, CASE WHEN cap THEN word || ' ' || w2 ELSE word END AS text
+         FROM t3 WHERE cap OR regexp_matches(word, '^[0-9]+$'))"""
+)
+PRED = ENT + ", pred AS MATERIALIZED (SELECT doc_id, sent_id, ent_id, class_id, b, CASE WHEN ent_id % 5 = 0 THEN e + 1 ELSE e END AS e, CASE WHEN ent_id % 5 = 0 THEN text || '?' ELSE text END AS text FROM gold WHERE ent_id % 7 <> 0)"
+REL = PRED + ", rel AS (SELECT doc_id, ent_id AS e1, (SELECT min(n.ent_id) FROM gold n WHERE n.doc_id = g.doc_id AND n.sent_id = g.sent_id AND n.class_id = 'NUM' AND n.ent_id > g.ent_id) AS e2 FROM gold g WHERE class_id = 'CAP'), relation AS (SELECT * FROM rel WHERE e2 IS NOT NULL)"
+
+# --- corpus views --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars, max(length(text))::BIGINT AS longest FROM documents")
+def corpus_size(spark, sf):
+    n = F.length("text").cast("long")
+    return read(spark, sf, "documents").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_chars"), F.max(n).alias("longest"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(regexp_replace(p, '\\s', ' ', 'g')) <> '')) AS text FROM documents)
+SELECT doc_id::VARCHAR AS doc_id, count(*) AS n_parts, sum(length(text))::BIGINT AS n_chars FROM p GROUP BY doc_id""")
+def part_split_paragraphs(spark, sf):
+    parts = readers.paragraphs(read(spark, sf, "documents"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query("""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
+SELECT doc_id, a[1] AS title, length(array_to_string(a, ' '))::BIGINT AS n_chars, array_to_string(list_transform(a[2:], lambda x: trim(x, ' ')), ' ') AS body FROM a""")
+def doc_title_body(spark, sf):
+    a = F.split("text", "\n")
+    return read(spark, sf, "documents").select("doc_id", a[0].alias("title"), F.length(F.array_join(a, " ")).cast("long").alias("n_chars"), F.array_join(F.transform(F.slice(a, 2, 1 << 30), F.trim), " ").alias("body"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, sent_id, min(b) AS sb, max(e) AS se, count(*) AS n_words FROM tok GROUP BY doc_id, sent_id")
+def sentence_split(spark, sf):
+    return tok(spark, sf).groupBy("doc_id", "sent_id").agg(F.min("b").alias("sb"), F.max("e").alias("se"), F.count("*").alias("n_words"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, sent_id, tok_id, word, b, e FROM tok")
+def tokens_tmvar(spark, sf):
+    return tok(spark, sf)
+
+
+@query(f"WITH {TOK} SELECT doc_id, count(*) AS n, count(DISTINCT lower(word)) AS n_distinct FROM tok GROUP BY doc_id")
+def tokens_by_expressions(spark, sf):
+    w = read(spark, sf, "documents").select("doc_id", fw.words_only(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    return w.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct(F.transform("w", F.lower))).cast("long").alias("n_distinct"))
+
+
+@query(r"""SELECT page_id::VARCHAR AS doc_id, len(regexp_extract_all(html, '<[a-zA-Z][a-zA-Z0-9]*[^<>]*\sid="?s')) ::BIGINT AS n_parts FROM pages WHERE regexp_matches(html, '<[a-zA-Z][a-zA-Z0-9]*[^<>]*\sid="?s')""")
+def html_parts(spark, sf):
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return readers.html_parts(pages).groupBy("doc_id").agg(F.count("*").alias("n_parts"))
+
+
+# --- token features ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TOK} SELECT doc_id, tok_id, lag(tok_id) OVER w IS NULL AS bos, lead(tok_id) OVER w IS NULL AS eos FROM tok WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)")
+def token_bos_eos(spark, sf):
+    return features.markers(tok(spark, sf)).select("doc_id", "tok_id", "bos", "eos")
+
+
+@query(f"WITH {TOK} SELECT doc_id, count(*) FILTER (regexp_matches(word, '[^\\x00-\\x7F]')) AS n_non_ascii, count(*) FILTER (regexp_matches(word, '^[A-Z]+$')) AS n_upper FROM tok GROUP BY doc_id")
+def token_non_ascii(spark, sf):
+    t = features.binary(features.binary(tok(spark, sf), "non_ascii", F.col("word").rlike("[^\\x00-\\x7F]")), "upper", F.col("word").rlike("^[A-Z]+$"))
+    return t.groupBy("doc_id").agg(F.count("non_ascii").alias("n_non_ascii"), F.count("upper").alias("n_upper"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, tok_id, lag(word, 2) OVER w AS \"word[-2]\", lag(word, 1) OVER w AS \"word[-1]\", lead(word, 1) OVER w AS \"word[1]\", lead(word, 2) OVER w AS \"word[2]\" FROM tok WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)")
+def token_window(spark, sf):
+    return features.window(tok(spark, sf), ["word"]).drop("sent_id", "word", "b", "e")
+
+
+@query(f"WITH {TOK} SELECT doc_id, tok_id, lower(word) || '|' || coalesce(lead(word) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id), 'None') AS pair FROM tok")
+def token_conjunction(spark, sf):
+    t = features.window(tok(spark, sf), ["word"], (1,))
+    return t.select("doc_id", "tok_id", features.conjunction(F.lower("word"), F.col("`word[1]`")).alias("pair"))
+
+
+@query(f"WITH {TOK}, d AS (SELECT DISTINCT lower(x) AS x FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM benchmark) WHERE length(x) > 1) SELECT doc_id, count(*) AS n, count(d.x) AS n_listed FROM tok LEFT JOIN d ON lower(word) = d.x GROUP BY doc_id")
+def token_dictionary(spark, sf):
+    listed = features.dictionary(read(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")))
+    return features.in_dictionary(tok(spark, sf), listed, "listed").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("listed").cast("long")).alias("n_listed"))
+
+
+@query()
+def token_stem(spark, sf):
+    distinct = tok(spark, sf).groupBy("word").agg(F.count("*").alias("n"))
+    return distinct.withColumn("stem", fw.stem_of("word"))
+
+
+@query(f"WITH {TOK}, c AS (SELECT DISTINCT lower(word) AS w, substr(md5(lower(word)), 1, 8) AS path FROM tok WHERE length(word) > 3) SELECT doc_id, count(path) AS n, count(DISTINCT substr(path, 1, 2)) AS n2 FROM tok LEFT JOIN c ON tok.word = c.w GROUP BY doc_id")
+def token_clusters(spark, sf):
+    t = tok(spark, sf)
+    paths = t.filter(F.length("word") > 3).select(F.lower("word").alias("word")).distinct().withColumn("path", F.substring(F.md5("word"), 1, 8))
+    return features.clusters(t, paths, (2,)).groupBy("doc_id").agg(F.count("path").alias("n"), F.countDistinct("path2").alias("n2"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE + 1.0) * 2.0) AS embedding FROM embeddings")
+def embedding_scaled(spark, sf):
+    return features.scaled(read(spark, sf, "embeddings").select("vec_id", "embedding"), 1.0, 2.0)
+
+
+@query("""WITH m AS (SELECT min(list_min(embedding))::DOUBLE AS lo, max(list_max(embedding))::DOUBLE AS hi FROM embeddings)
+SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE - lo) / ((hi - lo) / 300)) AS BIGINT) + 1) AS bins FROM embeddings, m""")
+def embedding_discrete(spark, sf):
+    return features.discrete(read(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "bins")
+
+
+@query("""WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+m AS (SELECT dim, avg(x) FILTER (x > 0) AS up, avg(x) FILTER (x < 0) AS down FROM l GROUP BY dim)
+SELECT vec_id, dim::INTEGER AS dim, CASE WHEN x >= up THEN '+' WHEN x <= down THEN '-' ELSE '0' END AS sign FROM l JOIN m USING (dim)""")
+def embedding_binarized(spark, sf):
+    return features.binarized(read(spark, sf, "embeddings"))
+
+
+# --- labels and entities -------------------------------------------------------------------------------------------------
+
+
+def _labels_sql(on: str, value: str, order: str) -> str:
+    return f"WITH {ENT}, j AS (SELECT t.doc_id, t.tok_id, CASE WHEN g.ent_id IS NULL THEN 'O' ELSE {value} END AS label, row_number() OVER (PARTITION BY t.doc_id, t.tok_id ORDER BY g.ent_id {order}) AS k FROM tok t LEFT JOIN gold g ON t.doc_id = g.doc_id AND ({on})) SELECT doc_id, tok_id, label FROM j WHERE k = 1"
+
+
+_BIO = _labels_sql("t.b = g.b OR (g.b < t.b AND t.b < g.e)", "CASE WHEN t.b = g.b THEN 'B-' ELSE 'I-' END || g.class_id", "ASC")
+
+
+def _label(scheme):
+    def run(spark, sf):
+        t = tok(spark, sf)
+        return annotate.label(t, gold(t), scheme).select("doc_id", "tok_id", "label")
+
+    return run
+
+
+QUERIES["labels_bio"], ORACLES["labels_bio"] = _label("BIO"), _BIO
+QUERIES["labels_bieo"], ORACLES["labels_bieo"] = _label("BIEO"), _labels_sql("t.b = g.b OR (g.b < t.b AND t.e < g.e) OR t.e = g.e", "CASE WHEN t.b = g.b THEN 'B-' WHEN g.b < t.b AND t.e < g.e THEN 'I-' ELSE 'E-' END || g.class_id", "ASC")
+QUERIES["labels_io"], ORACLES["labels_io"] = _label("IO"), _labels_sql("g.b <= t.b AND t.e <= g.e", "'I-' || g.class_id", "DESC")
+
+
+@query(f"SELECT label, count(*) AS n FROM ({_BIO}) GROUP BY label")
+def labels_bio_counts(spark, sf):
+    return QUERIES["labels_bio"](spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TOK}, l AS (SELECT *, CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'B' WHEN regexp_matches(word, '^[0-9]+$') THEN 'A' WHEN length(word) > 6 THEN 'I' ELSE 'O' END AS label, 1.0 / length(word) AS c FROM tok),
+m AS (SELECT *, label <> 'O' AND (lag(label) OVER w IS NULL OR lag(label) OVER w = 'O' OR label IN ('B', 'A')) AS starts FROM l WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)),
+r AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS run FROM m),
+g AS (SELECT doc_id, sent_id, run, min(b) AS b, max(e) AS e FROM r WHERE label <> 'O' GROUP BY doc_id, sent_id, run)
+SELECT g.doc_id, sent_id, b, e, substring(text, b + 1, e - b) AS entity FROM g JOIN documents d ON d.doc_id = g.doc_id""")
+def decode_islands(spark, sf):
+    w = F.col("word")
+    label = F.when(w.rlike("^[A-Z]"), "B").when(w.rlike("^[0-9]+$"), "A").when(F.length("word") > 6, "I").otherwise("O")
+    return annotate.decode(tok(spark, sf).withColumn("label", label), read(spark, sf, "documents")).drop("confidence")
+
+
+@query(f"WITH {ENT}, s AS (SELECT doc_id, sent_id, min(b) AS sb, max(e) AS se FROM tok GROUP BY ALL) SELECT g.doc_id, ent_id, min(s.sent_id) AS sent_id FROM gold g JOIN s ON s.doc_id = g.doc_id AND sb <= b AND b < se GROUP BY g.doc_id, ent_id")
+def entity_sentence_index(spark, sf):
+    t = tok(spark, sf)
+    return annotate.sentence_index(gold(t).drop("sent_id"), annotate.sentences_of(t)).select("doc_id", "ent_id", "sent_id")
+
+
+@query(f"""WITH {ENT}, n AS (SELECT doc_id, b, e, coalesce(string_agg(word, ' ' ORDER BY tok_id) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(word, ' ' ORDER BY tok_id) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM tok WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id))
+SELECT g.doc_id, g.ent_id, x.before, y.after FROM gold g JOIN n x ON x.doc_id = g.doc_id AND x.b = g.b JOIN n y ON y.doc_id = g.doc_id AND y.e = g.e""")
+def entity_neighbours(spark, sf):
+    t = tok(spark, sf)
+    return annotate.neighbours(t, gold(t))
+
+
+@query(f"WITH {PRED} SELECT p.doc_id, ent_id FROM pred p JOIN documents d ON d.doc_id = p.doc_id WHERE substring(d.text, b + 1, e - b) <> p.text")
+def offsets_wrong(spark, sf):
+    return annotate.offsets_wrong(predicted(gold(tok(spark, sf))), read(spark, sf, "documents")).select("doc_id", "ent_id")
+
+
+@query(f"WITH {ENT} SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM gold WHERE class_id = 'NUM')")
+def prune_empty_parts(spark, sf):
+    return annotate.prune_documents(read(spark, sf, "documents"), gold(tok(spark, sf)).filter("class_id = 'NUM'")).select("doc_id", "source")
+
+
+@query(f"WITH {ENT} SELECT DISTINCT doc_id, sent_id FROM gold")
+def prune_sentences(spark, sf):
+    t = tok(spark, sf)
+    return annotate.prune_sentences(t, gold(t))
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'right' FROM documents WHERE doc_id % 3 = 0")
+def extend_dataset(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id")
+    return annotate.extend(d.filter("doc_id % 3 <> 0").withColumn("side", F.lit("left")), d.withColumn("side", F.lit("right")))
+
+
+@query(f"WITH {ENT}, w AS (SELECT unnest(string_split(lower(text), ' ')) AS word FROM gold WHERE class_id = 'CAP') SELECT word, count(*) AS n FROM w WHERE regexp_matches(word, '^[a-z]+$') GROUP BY word")
+def top_words(spark, sf):
+    w = gold(tok(spark, sf)).filter("class_id = 'CAP'").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return w.filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+# --- relations -----------------------------------------------------------------------------------------------------------
+
+
+def _edges_sql(distance: str) -> str:
+    return f"WITH {ENT} SELECT c.doc_id, least(c.ent_id, n.ent_id) AS ent_id1, greatest(c.ent_id, n.ent_id) AS ent_id2, abs(c.sent_id - n.sent_id) AS distance FROM gold c JOIN gold n ON c.doc_id = n.doc_id AND c.class_id = 'CAP' AND n.class_id = 'NUM' {distance}"
+
+
+def _edges(distance):
+    def run(spark, sf):
+        return relations.edges(gold(tok(spark, sf)), "CAP", "NUM", distance).select("doc_id", "ent_id1", "ent_id2", "distance")
+
+    return run
+
+
+for _d in (0, 1, None):
+    _name = f"edges_distance_{'any' if _d is None else _d}"
+    QUERIES[_name] = _edges(_d)
+    ORACLES[_name] = _edges_sql("" if _d is None else f"AND abs(c.sent_id - n.sent_id) = {_d}")
+
+
+@query(f"WITH {REL}, e AS (SELECT c.doc_id, least(c.ent_id, n.ent_id) AS a, greatest(c.ent_id, n.ent_id) AS b FROM gold c JOIN gold n ON c.doc_id = n.doc_id AND c.class_id = 'CAP' AND n.class_id = 'NUM' AND c.sent_id = n.sent_id) SELECT e.doc_id, a AS ent_id1, b AS ent_id2, CASE WHEN r.e1 IS NULL THEN -1 ELSE 1 END AS real_target FROM e LEFT JOIN relation r ON r.doc_id = e.doc_id AND least(r.e1, r.e2) = a AND greatest(r.e1, r.e2) = b")
+def edges_labelled(spark, sf):
+    g = gold(tok(spark, sf))
+    return relations.label_edges(relations.edges(g, "CAP", "NUM", 0), gold_relations(g)).select("doc_id", "ent_id1", "ent_id2", "real_target")
+
+
+@query(f"WITH {ENT}, e AS (SELECT c.doc_id, CASE WHEN c.b < n.b THEN c.ent_id ELSE n.ent_id END AS ent_id1, CASE WHEN c.b < n.b THEN n.ent_id ELSE c.ent_id END AS ent_id2, CASE WHEN c.b < n.b THEN c.e ELSE n.e END AS lo, greatest(c.b, n.b) AS hi FROM gold c JOIN gold n ON c.doc_id = n.doc_id AND c.class_id = 'CAP' AND n.class_id = 'NUM' AND c.sent_id = n.sent_id) SELECT e.doc_id, ent_id1, ent_id2, count(g.b) AS n_between FROM e LEFT JOIN gold g ON g.doc_id = e.doc_id AND g.b >= lo AND g.e <= hi GROUP BY ALL")
+def edges_between_counts(spark, sf):
+    g = gold(tok(spark, sf))
+    return relations.between(relations.edges(g, "CAP", "NUM", 0), g).select("doc_id", "ent_id1", "ent_id2", "n_between")
+
+
+@query(f"WITH {ENT}, e AS (SELECT c.doc_id, 'r|' || lower(c.text) || '|' || lower(n.text) AS key, abs(c.sent_id - n.sent_id) AS d FROM gold c JOIN gold n ON c.doc_id = n.doc_id AND c.class_id = 'CAP' AND n.class_id = 'NUM'), m AS (SELECT doc_id, key, min(d) AS distance FROM e GROUP BY doc_id, key) SELECT distance, count(*) AS n, count(*) / (SELECT count(*) FROM m) AS share FROM m GROUP BY distance")
+def relation_distance_histogram(spark, sf):
+    pairs = relations.edges(gold(tok(spark, sf)), "CAP", "NUM")
+    return relations.distance_histogram(pairs, relations.relation_key(F.lit("r"), F.col("class_id1"), F.col("text1"), F.col("class_id2"), F.col("text2")))
+
+
+@query(f"WITH {REL} SELECT r.doc_id, e1, e2 FROM relation r WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = r.doc_id AND p.ent_id = e1) AND EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = r.doc_id AND p.ent_id = e2)")
+def purge_relations(spark, sf):
+    g = gold(tok(spark, sf))
+    return relations.purge(gold_relations(g), predicted(g)).select("doc_id", "e1", "e2")
+
+
+@query(f"WITH {TOK}, t AS (SELECT doc_id, word AS long, lead(word, 1) OVER w AS o, lead(word, 2) OVER w AS short, lead(word, 3) OVER w AS c FROM tok WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)) SELECT doc_id, long, short FROM t WHERE o = '(' AND c = ')'")
+def abbreviations(spark, sf):
+    return relations.abbreviations(tok(spark, sf))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------------
+
+_COUNTS = (
+    PRED
+    + """,
+po AS (SELECT DISTINCT p.doc_id, p.class_id, p.b, p.e, p.text FROM pred p JOIN gold g ON p.doc_id = g.doc_id AND p.class_id = g.class_id AND p.b < g.e AND p.e > g.b AND NOT (p.b = g.b AND p.text = g.text)),
+go AS (SELECT DISTINCT g.doc_id, g.class_id, g.b, g.e, g.text FROM gold g JOIN pred p ON p.doc_id = g.doc_id AND p.class_id = g.class_id AND p.b < g.e AND p.e > g.b AND NOT (p.b = g.b AND p.text = g.text)),
+pf AS (SELECT p.class_id, p.doc_id, EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.class_id = p.class_id AND g.b = p.b AND g.e = p.e AND g.text = p.text) AS x, EXISTS (SELECT 1 FROM po o WHERE o.doc_id = p.doc_id AND o.class_id = p.class_id AND o.b = p.b AND o.e = p.e AND o.text = p.text) AS o FROM pred p),
+gf AS (SELECT g.class_id, g.doc_id, EXISTS (SELECT 1 FROM pred p WHERE g.doc_id = p.doc_id AND g.class_id = p.class_id AND g.b = p.b AND g.e = p.e AND g.text = p.text) AS x, EXISTS (SELECT 1 FROM go o WHERE o.doc_id = g.doc_id AND o.class_id = g.class_id AND o.b = g.b AND o.e = g.e AND o.text = g.text) AS o FROM gold g),
+pc AS (SELECT class_id, doc_id, count(*) FILTER (x) AS tp, count(*) FILTER (NOT x) AS fp, count(*) FILTER (NOT x AND o) AS fp_ov FROM pf GROUP BY ALL),
+gc AS (SELECT class_id, doc_id, count(*) FILTER (NOT x) AS fn, count(*) FILTER (NOT x AND o) AS fn_ov FROM gf GROUP BY ALL),
+counts AS (SELECT class_id, doc_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(fp_ov, 0) AS fp_ov, coalesce(fn_ov, 0) AS fn_ov FROM pc FULL JOIN gc USING (class_id, doc_id))"""
+)
+
+
+def _counts(spark, sf):
+    g = gold(tok(spark, sf))
+    return evaluate.mention_counts(g, predicted(g))
+
+
+@query(f"WITH {_COUNTS} SELECT * FROM counts")
+def eval_mention_counts(spark, sf):
+    return _counts(spark, sf)
+
+
+_SUM = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(fp_ov)::BIGINT AS fp_ov, sum(fn_ov)::BIGINT AS fn_ov"
+_HIT = {"exact": ("tp", "tp + fp", "tp + fn"), "overlapping": ("tp + fp_ov + fn_ov", "tp + fp + fn_ov", "tp + fp_ov + fn"), "half_overlapping": ("tp + (fp_ov + fn_ov) / 2.0", "tp + fp + fn_ov", "tp + fp_ov + fn")}
+
+
+def _mention(strictness):
+    def run(spark, sf):
+        return evaluate.measures(evaluate.totals(_counts(spark, sf)), strictness)
+
+    return run
+
+
+for _s, (_h, _p, _r) in _HIT.items():
+    QUERIES[f"eval_mention_{_s}"] = _mention(_s)
+    ORACLES[f"eval_mention_{_s}"] = f"WITH {_COUNTS}, s AS (SELECT class_id, {_SUM} FROM counts GROUP BY class_id), m AS (SELECT *, coalesce(({_h})::DOUBLE / nullif({_p}, 0), 0.0) AS precision, coalesce(({_h})::DOUBLE / nullif({_r}, 0), 0.0) AS recall FROM s) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f_measure FROM m"
+
+
+@query(f"WITH {PRED}, g AS (SELECT DISTINCT doc_id, class_id || '|' || b || ',' || e || '|' || lower(text) AS k FROM gold), p AS (SELECT DISTINCT doc_id, class_id || '|' || b || ',' || e || '|' || lower(text) AS k FROM pred), j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.k AS g, p.k AS p FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.k = p.k) SELECT doc_id, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM j GROUP BY doc_id")
+def eval_entity_exact(spark, sf):
+    g = gold(tok(spark, sf))
+    key = lambda a: F.concat("class_id", F.lit("|"), "b", F.lit(","), "e", F.lit("|"), F.lower("text")).alias(a)
+    return evaluate.equal_counts(g.select("doc_id", key("g")), predicted(g).select("doc_id", key("p")))
+
+
+@query(f"""WITH {REL}, k AS (SELECT r.doc_id, lower(a.text) || '|' || lower(b.text) AS k FROM relation r JOIN gold a ON a.doc_id = r.doc_id AND a.ent_id = e1 JOIN gold b ON b.doc_id = r.doc_id AND b.ent_id = e2), g AS (SELECT DISTINCT doc_id, k FROM k),
+p AS (SELECT DISTINCT a.doc_id, lower(a.text) || '|' || lower(b.text) AS k FROM gold a JOIN gold b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.class_id = 'CAP' AND b.class_id = 'NUM'),
+j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.k AS g, p.k AS p FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.k = p.k) SELECT doc_id, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM j GROUP BY doc_id""")
+def eval_relation_doclevel(spark, sf):
+    """The same-sentence stub extractor against the gold relations."""
+    g = gold(tok(spark, sf))
+    pairs = relations.edges(g, "CAP", "NUM", 0)
+    key = relations.relation_key(F.lit("r"), F.col("class_id1"), F.col("text1"), F.col("class_id2"), F.col("text2"))
+    lab = relations.label_edges(pairs, gold_relations(g))
+    return evaluate.equal_counts(lab.filter("real_target = 1").select("doc_id", key.alias("g")), lab.select("doc_id", key.alias("p")))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND n_chars > 500) AS tp, count(*) FILTER (quality = 0 AND n_chars > 500) AS fp, count(*) FILTER (quality = 1 AND n_chars <= 500) AS fn FROM labels JOIN documents USING (doc_id)),
+m AS (SELECT *, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall FROM c) SELECT *, 0 AS fp_ov, 0 AS fn_ov, 2 * precision * recall / (precision + recall) AS f_measure FROM m""")
+def eval_quality_prf(spark, sf):
+    j = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    long, good = F.col("n_chars") > 500, F.col("quality") == 1
+    c = j.agg(*(F.count(F.when(x, 1)).alias(n) for n, x in (("tp", good & long), ("fp", ~good & long), ("fn", good & ~long))), F.lit(0).alias("fp_ov"), F.lit(0).alias("fn_ov"))
+    return evaluate.measures(c)
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN quality = 1 AND n_chars > 500 THEN 1 ELSE 0 END AS tp, CASE WHEN quality = 0 AND n_chars > 500 THEN 1 ELSE 0 END AS fp, CASE WHEN quality = 1 AND n_chars <= 500 THEN 1 ELSE 0 END AS fn FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT c.*, d, row_number() OVER (PARTITION BY d ORDER BY (doc_id * 7919 + d * 104729) % 1000003, doc_id) AS k FROM c, range(1, 101) t(d)), n AS (SELECT count(*) AS n FROM c),
+e AS (SELECT d, sum(tp)::DOUBLE / nullif(sum(tp + fp), 0) AS p, sum(tp)::DOUBLE / nullif(sum(tp + fn), 0) AS q FROM r, n WHERE k <= round_even(n * 0.15, 0) GROUP BY d),
+e2 AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, coalesce(2 * p * q / nullif(p + q, 0), 0) AS f FROM e),
+w AS (SELECT sum(tp)::DOUBLE / sum(tp + fp) AS p0, sum(tp)::DOUBLE / sum(tp + fn) AS q0 FROM c), w2 AS (SELECT *, 2 * p0 * q0 / (p0 + q0) AS f0 FROM w)
+SELECT p0 AS precision, q0 AS recall, f0 AS f_measure, round(sqrt(sum((p - p0) ^ 2) / 99) / sqrt(100.0), 9) AS precision_se, round(sqrt(sum((q - q0) ^ 2) / 99) / sqrt(100.0), 9) AS recall_se, round(sqrt(sum((f - f0) ^ 2) / 99) / sqrt(100.0), 9) AS f_measure_se FROM e2, w2 GROUP BY ALL""")
+def eval_bootstrap_se(spark, sf):
+    j = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    long, good = F.col("n_chars") > 500, F.col("quality") == 1
+    c = j.select("doc_id", *(F.when(x, 1).otherwise(0).alias(n) for n, x in (("tp", good & long), ("fp", ~good & long), ("fn", good & ~long))))
+    out = evaluate.standard_errors(c, 100, order=(F.col("doc_id") * 7919 + F.col("draw") * 104729) % 1000003)
+    return out.select("precision", "recall", "f_measure", *(F.round(x, 9).alias(x) for x in ("precision_se", "recall_se", "f_measure_se")))
+
+
+# --- splits --------------------------------------------------------------------------------------------------------------
+
+_ORDER = "o AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * 7919) % 1000003, doc_id) - 1 AS ord, count(*) OVER () AS n FROM documents)"
+
+
+def _order(spark, sf):
+    return splits.hashed(read(spark, sf, "documents"), (F.col("doc_id") * 7919) % 1000003)
+
+
+@query(f"WITH {_ORDER}, c AS (SELECT doc_id, least(floor(ord / round_even(n / 5, 0)), 4)::INTEGER AS chunk FROM o) SELECT doc_id, f::INTEGER AS fold, CASE WHEN (chunk - f + 5) % 5 < 3 THEN 'train' WHEN (chunk - f + 5) % 5 = 3 THEN 'validation' ELSE 'test' END AS role FROM c, range(5) t(f)")
+def split_kfold(spark, sf):
+    return splits.fold_roles(splits.kfold(_order(spark, sf), 5), 5).select("doc_id", "fold", "role")
+
+
+@query()
+def split_kfold_seeded(spark, sf):
+    return splits.kfold(splits.shuffled(read(spark, sf, "documents")), 5).select("doc_id", "chunk")
+
+
+@query(f"WITH {_ORDER} SELECT doc_id, CASE WHEN ord < floor(n * 0.66) THEN 'train' ELSE 'test' END AS role FROM o")
+def split_percentage(spark, sf):
+    return splits.percentage(_order(spark, sf), 0.66).select("doc_id", "role")
+
+
+@query(f"WITH {_ORDER}, s AS (SELECT o.*, lang || source AS stratum FROM o JOIN documents USING (doc_id)), k AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS m, row_number() OVER (PARTITION BY stratum ORDER BY ord) AS k FROM s), l AS (SELECT stratum, row_number() OVER (ORDER BY stratum) AS i FROM k WHERE m = 1) SELECT doc_id, k.stratum, CASE WHEN CASE WHEN m = 1 THEN i % 2 = 0 ELSE k <= round_even(m * 0.66, 0) END THEN 'train' ELSE 'test' END AS role FROM k LEFT JOIN l ON l.stratum = k.stratum")
+def split_stratified(spark, sf):
+    return splits.stratified(_order(spark, sf), read(spark, sf, "documents").select("doc_id", F.concat("lang", "source").alias("stratum")), 0.66)
+
+
+# --- vocabularies, graphs ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TOK}, v AS (SELECT DISTINCT lower(word) AS name FROM tok WHERE regexp_matches(word, '^[A-Za-z]+$')) SELECT name, row_number() OVER (ORDER BY name) - 1 AS f_index FROM v")
+def vocab_index(spark, sf):
+    return features.vocabulary(tok(spark, sf).filter(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("name")))
+
+
+@query(f"""WITH {TOK}, l AS (SELECT doc_id, toxic = 1 AS pos FROM labels), n AS (SELECT (count(*) FILTER (pos))::DOUBLE AS p, (count(*) FILTER (NOT pos))::DOUBLE AS q FROM l),
+w AS (SELECT DISTINCT doc_id, lower(word) AS name FROM tok WHERE regexp_matches(word, '^[A-Za-z]+$')), c AS (SELECT name, (count(*) FILTER (pos))::DOUBLE AS a, (count(*) FILTER (NOT pos))::DOUBLE AS b FROM w JOIN l USING (doc_id) GROUP BY name),
+h AS (SELECT *, a + b AS have, p - a + q - b AS lack FROM c, n)
+SELECT name, round(-(p / (p + q) * log2(p / (p + q)) + q / (p + q) * log2(q / (p + q)))
+  - have / (p + q) * (CASE WHEN a > 0 THEN -(a / have) * log2(a / have) ELSE 0 END + CASE WHEN b > 0 THEN -(b / have) * log2(b / have) ELSE 0 END)
+  - lack / (p + q) * (CASE WHEN p - a > 0 AND lack > 0 THEN -((p - a) / lack) * log2((p - a) / lack) ELSE 0 END + CASE WHEN q - b > 0 AND lack > 0 THEN -((q - b) / lack) * log2((q - b) / lack) ELSE 0 END), 8) AS gain FROM h""")
+def infogain(spark, sf):
+    words = tok(spark, sf).filter(F.col("word").rlike("^[A-Za-z]+$")).select(F.col("doc_id").alias("item"), F.lower("word").alias("name"))
+    classes = read(spark, sf, "labels").select(F.col("doc_id").alias("item"), (F.col("toxic") == 1).alias("positive"))
+    return features.information_gain(words, classes).select("name", F.round("gain", 8).alias("gain"))
+
+
+def _tree(spark, sf):
+    """A tree over each first sentence's tokens: the parent of token i is (i - 1) // 2."""
+    t = tok(spark, sf).filter("sent_id = 0")
+    return t, t.filter("tok_id > 0").select("doc_id", "sent_id", F.floor((F.col("tok_id") - 1) / 2).cast("int").alias("head"), F.col("tok_id").alias("child"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, sent_id, tok_id, floor(log2(tok_id + 1))::INTEGER AS depth FROM tok t WHERE sent_id = 0 AND (SELECT count(*) FROM tok u WHERE u.doc_id = t.doc_id AND u.sent_id = 0) > 0")
+def graph_depth(spark, sf):
+    t, deps = _tree(spark, sf)
+    return graph.depths(deps, t.filter("tok_id = 0").select("doc_id", "sent_id", "tok_id"))
+
+
+@query(f"""WITH RECURSIVE {TOK}, m AS (SELECT doc_id, max(tok_id) AS v FROM tok WHERE sent_id = 0 GROUP BY doc_id HAVING max(tok_id) > 1),
+up(doc_id, s, v, d) AS (SELECT doc_id, 'u', 1, 0 FROM m UNION ALL SELECT doc_id, 'v', v, 0 FROM m UNION ALL SELECT doc_id, s, (v - 1) // 2, d + 1 FROM up WHERE v > 0)
+SELECT a.doc_id, min(a.d + b.d)::INTEGER AS hops FROM up a JOIN up b ON a.doc_id = b.doc_id AND a.s = 'u' AND b.s = 'v' AND a.v = b.v GROUP BY a.doc_id""")
+def graph_shortest_path(spark, sf):
+    t, deps = _tree(spark, sf)
+    pairs = t.groupBy("doc_id", "sent_id").agg(F.max("tok_id").alias("v")).filter("v > 1").withColumn("u", F.lit(1))
+    return graph.shortest_paths(deps, pairs).select("doc_id", (F.size("path") - 1).alias("hops"))
