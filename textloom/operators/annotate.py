@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SENTENCE = W.partitionBy("doc_id", "sent_id").orderBy("tok_id")
+def sentence():
+    return W.partitionBy("doc_id", "sent_id").orderBy("tok_id")
+
 
 
 def _joined(tokens: DataFrame, entities: DataFrame, on: Column) -> DataFrame:
@@ -37,8 +39,8 @@ def label(tokens: DataFrame, entities: DataFrame, scheme: str = "BIO") -> DataFr
 
 def decode(labelled: DataFrame, docs: DataFrame, confidence: str | None = None, breaks: tuple[str, ...] = ("B", "A")) -> DataFrame:
     """Runs of labels in a sentence -> entities: a run starts after O and at the labels in ``breaks``."""
-    starts = (F.col("label") != "O") & (F.lag("label").over(SENTENCE).isNull() | (F.lag("label").over(SENTENCE) == "O") | F.col("label").isin(*breaks))
-    runs = labelled.withColumn("_run", F.sum(F.when(starts, 1).otherwise(0)).over(SENTENCE)).filter("label <> 'O'")
+    starts = (F.col("label") != "O") & (F.lag("label").over(sentence()).isNull() | (F.lag("label").over(sentence()) == "O") | F.col("label").isin(*breaks))
+    runs = labelled.withColumn("_run", F.sum(F.when(starts, 1).otherwise(0)).over(sentence())).filter("label <> 'O'")
     conf = F.sum(F.coalesce(F.col(confidence), F.lit(0.0))) / F.count("*") if confidence else F.lit(1.0)
     spans = runs.groupBy("doc_id", "sent_id", "_run").agg(F.min("b").alias("b"), F.max("e").alias("e"), conf.alias("confidence"))
     text = F.expr("substring(text, b + 1, e - b)")
@@ -58,8 +60,8 @@ def sentence_index(entities: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def neighbours(tokens: DataFrame, entities: DataFrame, n: int = 2) -> DataFrame:
     """Words before and after each entity inside its sentence."""
-    before = F.array_join(F.collect_list("word").over(SENTENCE.rowsBetween(-n, -1)), " ")
-    after = F.array_join(F.collect_list("word").over(SENTENCE.rowsBetween(1, n)), " ")
+    before = F.array_join(F.collect_list("word").over(sentence().rowsBetween(-n, -1)), " ")
+    after = F.array_join(F.collect_list("word").over(sentence().rowsBetween(1, n)), " ")
     near = tokens.withColumns({"before": before, "after": after})
     first = near.select("doc_id", "b", "before")
     last = near.select("doc_id", "e", "after")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .annotate import SENTENCE
+from .annotate import sentence
 
 
 def markers(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumns({"bos": F.lag("tok_id").over(SENTENCE).isNull(), "eos": F.lead("tok_id").over(SENTENCE).isNull()})
+    return tokens.withColumns({"bos": F.lag("tok_id").over(sentence()).isNull(), "eos": F.lead("tok_id").over(sentence()).isNull()})
 
 
 def binary(tokens: DataFrame, name: str, test: Column) -> DataFrame:
@@ -19,7 +19,7 @@ def binary(tokens: DataFrame, name: str, test: Column) -> DataFrame:
 
 def window(tokens: DataFrame, columns: list[str], template: tuple[int, ...] = (-2, -1, 1, 2)) -> DataFrame:
     """name -> name[k] of the neighbour at k in the sentence, null where there is none."""
-    return tokens.withColumns({f"{c}[{k}]": F.lead(c, k).over(SENTENCE) if k > 0 else F.lag(c, -k).over(SENTENCE) for c in columns for k in template})
+    return tokens.withColumns({f"{c}[{k}]": F.lead(c, k).over(sentence()) if k > 0 else F.lag(c, -k).over(sentence()) for c in columns for k in template})
 
 
 def conjunction(a: Column, b: Column) -> Column:

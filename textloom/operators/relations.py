@@ -82,9 +82,9 @@ def distance_histogram(pairs: DataFrame, key: Column) -> DataFrame:
 
 def abbreviations(tokens: DataFrame) -> DataFrame:
     """Word pairs in the pattern Y ( X )."""
-    from .annotate import SENTENCE
+    from .annotate import sentence
 
-    at = lambda k: F.lead("word", k).over(SENTENCE)
+    at = lambda k: F.lead("word", k).over(sentence())
     return tokens.select("doc_id", F.col("word").alias("long"), at(1).alias("o"), at(2).alias("short"), at(3).alias("c")).filter("o = '(' AND c = ')'").select("doc_id", "long", "short")
 
 

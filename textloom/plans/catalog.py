@@ -42,7 +42,7 @@ def tok(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(t: DataFrame) -> DataFrame:
-    nxt = lambda c: F.lead(c).over(annotate.SENTENCE)
+    nxt = lambda c: F.lead(c).over(annotate.sentence())
     t = t.withColumns({"w2": nxt("word"), "b2": nxt("b"), "e2": nxt("e")})
     cap = F.col("word").rlike("^[A-Z][a-z]+$") & F.coalesce(F.col("w2").rlike("^[a-z]+$"), F.lit(False)) & (F.col("b2") == F.col("e") + 1)
     num = F.col("word").rlike("^[0-9]+$")

@@ -17,7 +17,7 @@ def from_string(spark: SparkSession, text: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str, pattern: str, deep: bool = False) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
