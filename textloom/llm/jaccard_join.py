@@ -263,8 +263,7 @@ def _verify(key, pairs, members):
 def _linked(reps: DataFrame) -> DataFrame:
     """reps (node, w, n, h): classes that may link. -> (node, links, root), a row for each pair of blocks."""
     posts = reps.select("node", "n", F.explode("h").alias("x"))
-    common = posts.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = posts.join(common, "x")
+    posts = posts.withColumn("df", F.count("*").over(W.partitionBy("x"))).filter("df > 1")
     within = W.partitionBy("node")
     posts = posts.withColumns({"r": F.count("*").over(within), "k": F.row_number().over(within.orderBy("df", "x"))})
     posts = posts.withColumns({"pos": F.col("n") - F.col("r") + F.col("k"), "own": F.col("n") - F.col("r")})
