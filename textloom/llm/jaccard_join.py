@@ -7,7 +7,7 @@
    so a passage that a third of all documents share adds a few entries a chunk. The test runs again among classes only.
 3. Shingles left are ordered by document frequency. Documents with the same size and prefix form a group; groups meet in a join
    on prefix shingles under the size and position filters.
-4. Group pairs are verified by blocks: members are placed in blocks of bounded size near their neighbours, a task gets two
+4. Group pairs are verified by blocks: members are placed in blocks of bounded size by the component of the candidate graph, a task gets two
    blocks with the group pairs between them, expands these and counts intersections. It returns, per member, the weight of what
    it links with and the root of its part, never the pairs.
 
@@ -282,9 +282,10 @@ def _linked(reps: DataFrame) -> DataFrame:
     near = near.filter((F.col("n1") - F.col("pos1") + 1 >= need) & (F.col("n2") - F.col("pos2") + 1 >= need)).select("gid1", "gid2").distinct()
     own = groups.filter("m > 1").select(F.col("gid").alias("gid1"), F.col("gid").alias("gid2"))
     pairs = materialize(near.unionByName(own), "pairs")
-    # blocks: a group sits with the smallest group it meets
-    both = pairs.unionByName(pairs.select(F.col("gid2").alias("gid1"), F.col("gid1").alias("gid2")))
-    spot = both.groupBy(F.col("gid1").alias("gid")).agg(F.least(F.col("gid"), F.min("gid2")).alias("c"))
+    # blocks: all groups of a component of candidate pairs sit together, so only a component of several blocks is copied
+    root = components(pairs.select(F.col("gid1").alias("u"), F.col("gid2").alias("v")))
+    met = pairs.select(F.explode(F.array("gid1", "gid2")).alias("gid")).distinct()
+    spot = met.join(root.withColumnRenamed("u", "gid"), "gid", "left").select("gid", F.coalesce("root", "gid").alias("c"))
     placed = member_of.join(spot, "gid").join(reps, "node")
     load = placed.groupBy("c").agg(F.sum("n").alias("load"))
     total = load.agg(F.sum("load")).first()[0] or 0
