@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 GROUP_PAGES, LEAST_PAGES, SUPPORT = 256, 4, 0.6
+#: Hosts of more than GROUP_PAGES pages whose list may be broadcast (some 10 MB).
+LISTED_HOSTS = 100_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<",
@@ -158,8 +160,11 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    part = F.pmod(F.xxhash64("page_id", F.length("html")), F.ceil(F.col("n") / F.lit(float(GROUP_PAGES))))
-    keyed = rows.join(sizes, "host").withColumn("cell", F.concat_ws(" ", "host", part.cast("string")))
+    # only hosts of more than a group need parts; their list is broadcast while it is short, else joined as it comes
+    large = materialize(sizes.filter(F.col("n") > GROUP_PAGES).withColumnRenamed("host", "_host"), "hosts")
+    large = F.broadcast(large) if large.count() <= LISTED_HOSTS else large
+    part = F.pmod(F.xxhash64("page_id", F.length("html")), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(float(GROUP_PAGES))))
+    keyed = rows.join(large, F.col("host") == F.col("_host"), "left").withColumn("cell", F.concat_ws(" ", "host", part.cast("string")))
     keyed = keyed.withColumn("grp", F.pmod(F.xxhash64("cell"), F.lit(max(1, total // GROUP_PAGES))))
     return keyed.select("page_id", "url", "html", "cell", "grp").groupBy("grp").applyInArrow(_group, "page_id long, url string, text string, n_chars long")
 
