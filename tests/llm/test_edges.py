@@ -101,6 +101,21 @@ def test_jaccard_brute_force(spark):
     assert {r.doc_id: r.n_similar for r in jaccard_join.similar(docs(spark, rows)).collect()} == links
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"d{k}w{i}" for i in range(30))
+    near = lambda k: text(k) + " end"
+    rows = [*((None, text(k), "s") for k in range(40)), (None, near(0), "s"), (None, near(1), "s"), (5, near(1) + " more", "s"), (7, text(50), "s"), (7, text(51), "s"), (8, near(51), "s"), (None, None, "s"), (None, "", "s"), (9, None, "s"), (9, " ", "s")]
+    d = docs(spark, rows)
+    got = jaccard_join.similar(d).filter("n_shingles > 0").collect()
+    assert sorted(r.n_similar for r in got if r.doc_id is None) == [0] * 38 + [1, 1, 2, 2]
+    assert [(r.n_similar, r.component_id) for r in got if r.doc_id == 5] == [(2, 5)] and sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0] * 40 + [5, 5]
+    assert sorted((r.n_similar, r.component_id) for r in got if r.doc_id in (7, 8)) == [(0, 7), (1, 7), (1, 7)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.deduplicate(d).collect()]
+    group = {near(0): text(0), near(1): text(1), near(1) + " more": text(1), near(51): text(51)}
+    assert sorted(group.get(t, t) for _, t in kept if t and t.strip()) == sorted(text(k) for k in (*range(40), 50, 51))
+    assert sorted(((i or 0), t or "") for i, t in kept if not (t and t.strip())) == [(0, ""), (0, ""), (9, ""), (9, " ")]
+
+
 def test_mixing(spark, odd):
     got = mixing.plan(odd).select("doc_id", "source", "_size", "_source_size", "_target", "_copies").collect()
     assert len(got) == 12 and all(0 <= r._copies <= 3 for r in got)

@@ -12,8 +12,9 @@
    it links with and the root of its part, never the pairs.
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing. Texts below five words are one
-shingle. Equal rows count once; a doc_id with different texts has a row for each. Null doc_id is the smallest id, given back
-as null. An empty table gives no rows. Extra columns are ignored by ``similar`` and kept by ``deduplicate``.
+shingle. Equal rows count once; a doc_id with different texts has a row for each, and so have null ids, which are no one document.
+A component is named by its smallest doc_id, by null only where it holds no other id. An empty table gives no rows. Extra columns
+are ignored by ``similar`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, bounds, h in _chunks(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         s1, s2 = signatures(bounds, h)
-        yield pa.RecordBatch.from_pydict({"doc_id": ids, "key": _keys(ids, s1), "s1": s1, "s2": s2, "n": np.diff(bounds)})
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "txt": batch.column(2), "key": _keys(ids, s1), "s1": s1, "s2": s2, "n": np.diff(bounds)})
 
 
 def _prints(keys: np.ndarray, bounds: np.ndarray, h: np.ndarray, buckets: int, space: float) -> pa.RecordBatch:
@@ -302,37 +303,57 @@ def _linked(reps: DataFrame) -> DataFrame:
     return p.groupBy("lo", "hi").cogroup(held.groupBy("lo_", "hi_")).applyInArrow(_verify, "node long, links long, root long")
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, n_similar, component_id."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), binary_text().alias("text"))
-    sets = materialize(texts.mapInArrow(_sets, "doc_id long, key long, s1 long, s2 long, n long").distinct(), "sets")
+def _text_hash() -> Column:
+    return F.xxhash64(binary_text())
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """A row for each doc_id (null as NULL_ID) and set: doc_id, txt (its least text hash), n, n_similar, first (the component's first document)."""
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), binary_text().alias("text"), _text_hash().alias("txt"))
+    sets = texts.mapInArrow(_sets, "doc_id long, txt long, key long, s1 long, s2 long, n long")
+    sets = materialize(sets.groupBy("doc_id", "key", "s1", "s2", "n").agg(F.min("txt").alias("txt")), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * SPACE) // BUCKET_PRINTS)
-    single = _single(texts.mapInArrow(_prints_of_texts(buckets), _PRINTS))
+    single = _single(texts.select("doc_id", "text").mapInArrow(_prints_of_texts(buckets), _PRINTS))
     spare = F.floor(F.col("n") * 2 / F.lit(10.0))
     tested = sets.filter("n > 0").join(single, "key", "left").withColumn("may", F.coalesce("u", F.lit(0)) <= spare)
-    classes = tested.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.count("*").alias("w"), F.max("may").alias("may"))
-    classes = materialize(classes.select("s1", "s2", "n", F.col("rep.doc_id").alias("node"), F.col("rep.key").alias("key"), "w", "may"), "classes")
+    # a class is the node of its first document's key, which the text tells apart from others of that doc_id
+    who = F.struct((F.col("doc_id") == NULL_ID).alias("none"), "doc_id", "txt", "key")
+    classes = tested.groupBy("s1", "s2", "n").agg(F.min(who).alias("rep"), F.count("*").alias("w"), F.max("may").alias("may"))
+    classes = materialize(classes.select("s1", "s2", "n", "rep", F.col("rep.key").alias("node"), "w", "may"), "classes")
     chosen = classes.filter("may")
-    reread = texts.join(chosen.select(F.col("node").alias("doc_id"), "key"), "doc_id").select("doc_id", "text", "key")
-    reps = materialize(reread.mapInArrow(_reread, "key long, h array<long>").join(chosen.select("key", "node", "w", "n"), "key").dropDuplicates(["key"]), "reps")
+    reread = texts.join(chosen.select("rep.doc_id", "rep.txt", F.col("node").alias("key")), ["doc_id", "txt"]).select("doc_id", "text", "key")
+    reps = materialize(reread.mapInArrow(_reread, "key long, h array<long>").join(chosen.select(F.col("node").alias("key"), "node", "w", "n"), "key").dropDuplicates(["key"]), "reps")
     buckets = max(1, (reps.agg(F.sum("n")).first()[0] or 0) // BUCKET_PRINTS)
     single = _single(reps.select("key", "h").mapInArrow(_prints_of_sets(buckets), _PRINTS))
     left = materialize(reps.join(single, "key", "left").filter(F.coalesce("u", F.lit(0)) <= spare).select("node", "w", "n", "h"), "left")
     links = materialize(_linked(left), "links")
     root = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     found = links.groupBy("node").agg(F.sum("links").alias("links")).join(root.withColumnRenamed("u", "node"), "node", "left")
-    per_class = classes.join(found, "node", "left").select("s1", "s2", "n", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("root", "node").alias("component_id"))
-    out = sets.join(per_class, ["s1", "s2", "n"], "left")
+    found = materialize(found.select("node", "links", F.coalesce("root", "node").alias("root")), "found")
+    first = classes.join(found, "node").groupBy("root").agg(F.min("rep").alias("first"))
+    found = found.join(first, "root").select("node", "links", "first")
+    per_class = classes.join(found, "node", "left").select("s1", "s2", "n", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("first", "rep").alias("first"))
+    return sets.join(per_class, ["s1", "s2", "n"], "left").select("doc_id", "txt", "n", "n_similar", "first")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, n_similar, component_id."""
     back = lambda c: F.when(c != NULL_ID, c)
-    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), back(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return _parts(docs).select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), back(F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's smallest; repeated rows of one document become one."""
-    stay = similar(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component, its first document's; repeated rows of one document become one.
+
+    Texts without words link with nothing: one row for each doc_id and text stays, and every row without an id.
+    """
+    own = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_txt": _text_hash(), "_void": ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")})
+    stay = _parts(docs).filter("n > 0").select("first.doc_id", "first.txt").distinct()
+    full = own.filter("NOT _void").join(stay.toDF("_stay", "_text"), (F.col("_id") == F.col("_stay")) & (F.col("_txt") == F.col("_text")), "left_semi")
+    void = own.filter("_void")
+    some = full.unionByName(void.filter("doc_id IS NOT NULL")).dropDuplicates(["_id", "_txt"])
+    return some.unionByName(void.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
