@@ -164,6 +164,14 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), lab).count() == 0 and toxicity.score(d, lab.limit(0)).count() == 403
 
 
+def test_shouting_counts_the_whole_text():
+    vote = lambda t: toxicity.Lexicon().read(t.encode())[0][toxicity.VOTERS.index("shouting")]
+    calm, loud = "quiet lower words " * 150, "GO AWAY NOW!!!!! " * 400
+    assert vote(calm + loud) == toxicity.TOXIC and vote(loud[:2100] + calm * 3) == toxicity.NONE
+    assert vote("УБИРАЙСЯ!!!!! " * 3) == toxicity.TOXIC and vote("убирайся!!!!! " * 3) == vote("") == toxicity.NONE
+    assert vote("HUSH HUSH!!!!!") == toxicity.TOXIC
+
+
 VEC = "vec_id long, embedding array<float>, label int, score double"
 
 

@@ -40,10 +40,18 @@ SEED_WORDS = frozenset(
 )
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _LEET = bytes(dict(zip(b"013457@$!", b"oieastasi")).get(c, _SPLIT[c]) for c in range(256))
+_ASCII, _ASCII_UPPER, _ASCII_LOWER = bytes(range(128)), bytes(range(65, 91)), bytes(range(97, 123))
 VOTERS = ("seed", "strong", "strong twice", "weak twice", "disguised", "direct", "shouting", "no word", "long and no word")
 NONE, CLEAN, TOXIC = 0, 1, 2
 
 
+def _mostly_upper(text: bytes) -> bool:
+    """Whether the whole text, in any script, has more upper than lower case letters."""
+    rest = text.translate(None, _ASCII).decode("utf-8", "ignore")
+    upper = len(text) - len(text.translate(None, _ASCII_UPPER)) + sum(map(str.isupper, rest))
+    return upper > len(text) - len(text.translate(None, _ASCII_LOWER)) + sum(map(str.islower, rest))
+
+
 @dataclass
 class Lexicon:
     strong: dict[bytes, int] = field(default_factory=dict)
@@ -64,8 +72,7 @@ class Lexicon:
         if strong or seed:
             bad = strong | seed
             direct = any(w in bad and {b"you", b"your", b"du", b"tu", b"vous"} & set(words[max(0, i - 3) : i]) for i, w in enumerate(words))
-        n = len(text)
-        shouting = text.count(b"!") >= 5 and sum(map(text[:2000].count, (b"E", b"A", b"T", b"N"))) > sum(map(text[:2000].count, (b"e", b"a", b"t", b"n"))) if n else False
+        shouting = text.count(b"!") >= 5 and _mostly_upper(text)
         hit = bool(strong or seed)
         votes = (
             TOXIC if seed else NONE,
