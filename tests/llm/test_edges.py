@@ -145,6 +145,17 @@ def test_secrets(spark):
     assert secrets.scan(d.limit(0)).count() == 0
 
 
+def test_redaction_judges_every_occurrence(spark):
+    key = "0b4c9d1e7f3a5b6c8d2e4f60718293a4b5c6d7e8"
+    calm, loud = f"see commit {key} of may", f'then much further below there stands token = "{key}" was set'
+    filler = " ".join(f"https://www.abc.com/xyz/{i}" for i in range(1000, 1200))
+    d = docs(spark, [(1, f"{calm} {filler} {loud}", "a"), (2, f"{loud} {filler} {calm}", "a"), (3, calm, "a"), (4, f"x{key} {loud}", "a")])
+    out = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    gone = lambda t: t.replace(key, "[SECRET]")
+    assert out[3] == calm and out[1] == gone(f"{calm} {filler} {loud}") and out[2] == gone(f"{loud} {filler} {calm}")
+    assert key not in out[4]
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     rng = np.random.default_rng(9)

@@ -5,8 +5,9 @@ transitions, shares of kinds of characters, dictionary coverage, path and neighb
 random forest trained on labelled findings (a bounded list, on the driver) is compiled into an expression of nested conditions,
 so the scan is one projection over the texts without shuffle, Python worker or join, and DuckDB can run the same text.
 
-Defined cases: null and empty texts have no candidates. A candidate that occurs several times in a text is judged once, in its
-first place, and counted. Repeated rows are scanned each. Null ids are kept. An empty table gives no rows. Extra columns are ignored by
+Defined cases: null and empty texts have no candidates. ``scan`` judges a candidate that occurs several times in a text once, in
+its first place, as its SQL says; ``redact`` judges every occurrence by its own neighbours and replaces a value everywhere in the
+text if one occurrence is a secret. Repeated rows are scanned each. Null ids are kept. An empty table gives no rows. Extra columns are ignored by
 ``scan`` and kept by ``redact``.
 """
 
@@ -188,13 +189,17 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every secret in their texts replaced; n_chars, where there, follows. No shuffle: all inside arrays."""
     fields, score = _score_sql()
-    own = docs.withColumn("_c", F.expr(f"array_distinct(filter(regexp_extract_all(coalesce(text, ''), '{CANDIDATE}', 0), c -> c rlike '[0-9]'))"))
-    own = own.withColumn("_p", F.expr("transform(_c, c -> struct(c AS c, instr(text, c) AS at))"))
-    own = own.withColumn("_p", F.expr(f"transform(_p, p -> struct(p.c AS c, substring(text, greatest(1, p.at - {CONTEXT}), least({CONTEXT}, p.at - 1)) AS l, substring(text, p.at + length(p.c), {CONTEXT}) AS r))"))
+    own = docs.withColumns({"_c": F.expr(f"regexp_extract_all(coalesce(text, ''), '{CANDIDATE}', 0)"), "_g": F.expr(f"split(coalesce(text, ''), '{CANDIDATE}', -1)")})
+    # text is _g[0] _c[0] _g[1] _c[1] ...; three candidates with what lies between are longer than the context
+    part = lambda name, at: f"coalesce(get({name}, i {at:+d}), '')"
+    left = ", ".join(f"{part('_g', k)}, {part('_c', k)}" for k in (-3, -2, -1)) + f", {part('_g', 0)}"
+    right = ", ".join(f"{part('_g', k)}, {part('_c', k)}" for k in (1, 2, 3)) + f", {part('_g', 4)}"
+    own = own.withColumn("_p", F.expr("filter(transform(_c, (c, i) -> struct(c AS c, i AS i)), p -> p.c rlike '[0-9]')"))
+    own = own.withColumn("_p", F.expr(f"transform(_p, p -> struct(p.c AS c, right(concat({left}), {CONTEXT}) AS l, left(concat({right}), {CONTEXT}) AS r))".replace(", i ", ", p.i ")))
     lifted = fields.replace("(c ", "(p.c ").replace("(c)", "(p.c)").replace("(c,", "(p.c,").replace("(l)", "(p.l)").replace("WHEN l LIKE", "WHEN p.l LIKE").replace("OR l LIKE", "OR p.l LIKE").replace("OR r LIKE", "OR p.r LIKE")
     own = own.withColumn("_p", F.expr(f"transform(_p, p -> struct(p.c AS c, struct({lifted}) AS f))"))
     in_lambda = score.replace("f.", "p.f.")
-    own = own.withColumn("_s", F.expr(f"transform(filter(_p, p -> {in_lambda} >= {THRESHOLD}D), p -> p.c)"))
+    own = own.withColumn("_s", F.expr(f"transform(filter(_p, p -> {in_lambda} >= {THRESHOLD}D), p -> p.c)")).withColumn("_s", F.array_distinct("_s"))
     text = F.expr(f"aggregate(array_sort(_s, (a, b) -> length(b) - length(a)), text, (t, s) -> replace(t, s, '{REDACTED}'))")
     columns = [F.when(F.size("_s") > 0, text).otherwise(F.col("text")).alias("text") if c == "text" else F.when(F.size("_s") > 0, F.length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return own.select(*columns)
