@@ -79,3 +79,24 @@ def test_formats(spark, tmp_path):
     assert sorted((r.part_id, r.b, r.text) for r in ents.collect()) == [("abstract", 6, "BRCA1"), ("title", 2, "gene")]
     html = spark.createDataFrame([("d", '<p id="s1">a</p><p id="s3h">b <i>c</i></p><p id="x">d</p>')], "doc_id string, html string")
     assert [(r.part_id, r.text, r.is_abstract) for r in readers.html_parts(html).orderBy("part_ord").collect()] == [("s1", "a", True), ("s3h", "None", False)]
+
+
+def test_graphs_of_all_sentences(spark, tmp_path):
+    from textloom.plans import catalog
+
+    d = spark.createDataFrame([(1, "One two three four. Five six seven eight nine. Ten."), (2, TEXT), (3, None)], "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {}
+    for r in tokens(d).collect():
+        sizes[r.doc_id, r.sent_id] = sizes.get((r.doc_id, r.sent_id), 0) + 1
+    assert len(sizes) > 4
+
+    def up(k):
+        return [k, *up((k - 1) // 2)] if k else [0]
+
+    depth = {(*key, k): len(up(k)) - 1 for key, n in sizes.items() for k in range(n)}
+    hops = {key: len(set(up(1)) ^ set(up(n - 1))) for key, n in sizes.items() if n > 2}
+    got = catalog.QUERIES["graph_depth_sentences"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.sent_id, r.tok_id): r.depth for r in got} == depth and len(got) == len(depth)
+    got = catalog.QUERIES["graph_shortest_path_sentences"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.sent_id): r.hops for r in got} == hops and len(got) == len(hops)

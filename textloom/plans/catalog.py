@@ -476,3 +476,26 @@ def graph_shortest_path(spark, sf):
     t, deps = _tree(spark, sf)
     pairs = t.groupBy("doc_id", "sent_id").agg(F.max("tok_id").alias("v")).filter("v > 1").withColumn("u", F.lit(1))
     return graph.shortest_paths(deps, pairs).select("doc_id", (F.size("path") - 1).alias("hops"))
+
+
+def _trees(spark, sf):
+    """A tree over the tokens of every sentence: the parent of a sentence's token k is its token (k - 1) // 2. -> tokens with k, links."""
+    t = tok(spark, sf).withColumn("k", (F.col("tok_id") - F.min("tok_id").over(W.partitionBy("doc_id", "sent_id"))).cast("int"))
+    return t, t.filter("k > 0").select("doc_id", "sent_id", F.floor((F.col("k") - 1) / 2).cast("int").alias("head"), F.col("k").alias("child"))
+
+
+# no SQL: tests compare these two with brute force; the two above keep to the first sentence, as their SQL does
+
+
+@query()
+def graph_depth_sentences(spark, sf):
+    t, deps = _trees(spark, sf)
+    return graph.depths(deps, t.filter("k = 0").select("doc_id", "sent_id", F.col("k").alias("tok_id")))
+
+
+@query()
+def graph_shortest_path_sentences(spark, sf):
+    """Between each sentence's second and last token."""
+    t, deps = _trees(spark, sf)
+    pairs = t.groupBy("doc_id", "sent_id").agg(F.max("k").alias("v")).filter("v > 1").withColumn("u", F.lit(1))
+    return graph.shortest_paths(deps, pairs).select("doc_id", "sent_id", (F.size("path") - 1).alias("hops"))
