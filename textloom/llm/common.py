@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,25 +14,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Scratch paths that are still there, in the order made.
+_PATHS: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a local one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; where that is unset, a local one if all runs on this machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return _OWN[0]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by ``release`` or when the driver ends."""
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     atexit.register(remove_path, spark, path)
     return path
 
 
+def mark() -> int:
+    """For ``release``: what is made from now on."""
+    return len(_PATHS)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Removes the scratch tables made since the mark, except the one that ``keep`` reads."""
+    held = set() if keep is None else {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()}
+    for path in _PATHS[since:]:
+        if path.split(":", 1)[-1].lstrip("/") not in held:
+            remove_path(spark, path)
+            _PATHS.remove(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -64,6 +84,21 @@ def blobs(array: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+#: Bytes of a column that are worked on at once, except for a single longer value.
+SLICE_BYTES = 2_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a binary or text column holds about ``most`` bytes."""
+    for batch in batches:
+        off, _ = buffer_of(batch.column(column))
+        lo = 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def buffer_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of a binary Arrow array without copying the data."""
     wide = pa.types.is_large_binary(array.type) or pa.types.is_large_string(array.type)

@@ -55,11 +55,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(n + 1, 1 << 21)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b % 2**64, np.uint64), dtype=np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64))]
-    return _POWERS[0], _POWERS[1]
+    """Powers of the base and of its inverse; those for a chunk are kept, a longer document's are not."""
+    make = lambda size: [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b % 2**64, np.uint64), dtype=np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    if not _POWERS:
+        _POWERS[:] = make(CHUNK_BYTES + 1)
+    up, down = _POWERS if n < len(_POWERS[0]) else make(n + 1)
+    return up, down
 
 
 def shingles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

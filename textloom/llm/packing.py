@@ -3,8 +3,8 @@
 A document's ids are those of the vocabulary plus the end id. Its full stretches of ``capacity`` ids are sequences of their
 own, made where the document is read; only the rest of less than ``capacity`` ids is packed. Rests go to randomised groups of
 about ``group_rows`` documents, and each group is packed alone by first-fit decreasing: the tree holds the largest remaining
-capacity of each half of the bins, so the first bin that fits is found by one walk from the root. Only small rows
-(document, start, length, checksum) are shuffled; no text is.
+capacity of each half of the bins, so the first bin that fits is found by one walk from the root. Texts are read once; their
+pieces (document, start, length, checksum) are written to the shared folder, and only those of rests are shuffled.
 
 Defined cases: null or empty text is the end id alone. Null doc_id is kept as null. Repeated rows are separate documents.
 Ties in length go by doc_id, then start, then checksum. An empty table gives no rows. Extra columns are ignored.
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import binary_text, blobs, table
+from .common import binary_text, blobs, materialize, slices, table
 
 CAPACITY = 2048
 END_ID = 1
-#: Documents in a randomised group, on average.
+#: Rests in a randomised group, on average.
 GROUP_ROWS = 40_000
 #: Sequences of rests have a group's number times this, plus their own; those of full stretches have SOLO plus.
 SPAN = 1 << 24
@@ -68,7 +68,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def _cut(capacity: int, vocabulary: str, groups: int):
+def _cut(capacity: int, vocabulary: str):
     end = np.array([END_ID], "<u4").tobytes()
     mix = 0x9E3779B97F4A7C15
 
@@ -77,9 +77,9 @@ def _cut(capacity: int, vocabulary: str, groups: int):
 
         cache = wordpieces.words(vocabulary)
         task, seen, solo = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for some in slices(batches, 1):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+            for doc, text in zip(some.column(0).to_pylist(), blobs(some.column(1))):
                 ids = wordpieces.encode(cache, text) + end
                 total = len(ids) // 4
                 full = total - total % capacity
@@ -90,9 +90,9 @@ def _cut(capacity: int, vocabulary: str, groups: int):
                     seen += 1
                     mixed = ((((doc or 0) * mix) & (2**64 - 1)) ^ (seen * 0xC2B2AE3D27D4EB4F + task * 0x165667B19E3779F9)) & (2**64 - 1)
                     mixed = ((mixed ^ (mixed >> 29)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-                    rows.append((doc, full, total - full, zlib.crc32(ids[4 * full :]), total, (mixed >> 32) % groups, None))
+                    rows.append((doc, full, total - full, zlib.crc32(ids[4 * full :]), total, mixed >> 32, None))
             cols = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "sequence_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw", "sequence_id"])
 
     return run
 
@@ -101,27 +101,22 @@ def _pack(capacity: int):
     def run(key, pieces):
         pieces = pieces.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = first_fit_decreasing(pieces.column("length").to_numpy(), capacity)
-        out = pieces.drop_columns(["grp", "sequence_id"])
-        return out.append_column("sequence_id", pa.array(bins + key[0].as_py() * SPAN)).append_column("offset", pa.array(offsets))
+        return pieces.drop_columns(["grp"]).append_column("sequence_id", pa.array(bins + key[0].as_py() * SPAN)).append_column("offset", pa.array(offsets))
 
     return run
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    groups = max(1, round(docs.count() / group_rows))
     path = vocabulary or wordpieces.vocabulary_path()
-    cut = docs.select("doc_id", binary_text().alias("text")).mapInArrow(_cut(capacity, path, groups), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, sequence_id long")
-    # one scan gives both kinds: full stretches get a group of their own a few thousand rows wide, since they need no packing
-    solo = F.col("sequence_id").isNotNull()
-    keyed = cut.withColumn("grp", F.when(solo, F.lit(-1) - F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).otherwise(F.col("grp")))
-
-    def either(key, pieces):
-        if key[0].as_py() < 0:
-            return pieces.drop_columns(["grp"]).append_column("offset", pa.array(np.zeros(len(pieces), np.int64)))
-        return _pack(capacity)(key, pieces)
-
-    return keyed.groupBy("grp").applyInArrow(either, PIECES)
+    cut = docs.select("doc_id", binary_text().alias("text")).mapInArrow(_cut(capacity, path), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long, sequence_id long")
+    cut = materialize(cut, "pieces")  # texts are read once; what is written has no text
+    plain = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    full = cut.filter("sequence_id IS NOT NULL").select(*plain, "sequence_id", F.lit(0).cast("long").alias("offset"))
+    rests = cut.filter("sequence_id IS NULL")
+    groups = max(1, round(rests.count() / group_rows))
+    packed = rests.select(*plain, F.pmod("draw", F.lit(groups)).alias("grp")).groupBy("grp").applyInArrow(_pack(capacity), PIECES)
+    return full.unionByName(packed)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

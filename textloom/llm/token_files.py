@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import binary_text, blobs, materialize, remove_path, scratch_path, table
+from .common import binary_text, blobs, materialize, remove_path, scratch_path, slices, table
 from .packing import END_ID
 
 SCALE = 20
@@ -247,18 +247,18 @@ def _segments(folder: str, vocabulary: str):
 
         cache, part = wordpieces.words(vocabulary), TaskContext.get().partitionId()
         path, n_docs, n_tokens, hist, out = f"{folder}/{part}-{uuid.uuid4().hex}.raw", 0, 0, np.zeros(VOCABULARY_SIZE, np.int64), None
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                some = batch.slice(lo, 500)
-                ids = [wordpieces.encode(cache, t) + end for t in blobs(some.column(1))]
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                hist += np.bincount(flat, minlength=VOCABULARY_SIZE)
-                chunk = pa.compress(flat.astype("<u2").tobytes(), codec="zstd", asbytes=True)
-                docs = some.column(0).to_pylist()
-                meta = json.dumps([docs, [len(x) // 4 for x in ids]]).encode()
-                out = out or _create(path)
-                out.write(struct.pack("<IIQ", len(meta), len(chunk), 2 * len(flat)) + meta + chunk)
-                n_docs, n_tokens = n_docs + len(docs), n_tokens + len(flat)
+        for some in slices(batches, 1):
+            ids = [wordpieces.encode(cache, t) + end for t in blobs(some.column(1))]
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            if flat.max(initial=0) >= VOCABULARY_SIZE:
+                raise ValueError(f"ids of {VOCABULARY_SIZE} and more have no place in these files")
+            hist += np.bincount(flat, minlength=VOCABULARY_SIZE)
+            chunk = pa.compress(flat.astype("<u2").tobytes(), codec="zstd", asbytes=True)
+            docs = some.column(0).to_pylist()
+            meta = json.dumps([docs, [len(x) // 4 for x in ids]]).encode()
+            out = out or _create(path)
+            out.write(struct.pack("<IIQ", len(meta), len(chunk), 2 * len(flat)) + meta + chunk)
+            n_docs, n_tokens = n_docs + len(docs), n_tokens + len(flat)
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_tokens": [n_tokens], "hist": [zlib.compress(hist.tobytes(), 1)]})

@@ -1,22 +1,26 @@
 """Token ids of whole texts by the ``tokenizers`` library, through a cache of words.
 
 The vocabulary's normaliser and splitter never join anything across ASCII white space, so the ids of a text are the ids of
-its white-space separated words in order. Each worker keeps a bounded cache from a word's bytes to its ids, so a text costs
-one ``bytes.split`` and one dictionary look-up a word; the library encodes each word that the cache doesn't hold.
+its white-space separated words in order. Each worker keeps a cache from a word's bytes to its ids, so a text costs one
+``bytes.split`` and one dictionary look-up a word; the library encodes each word that the cache doesn't hold. A cache has two
+generations of at most CACHE_BYTES each: what is asked for again moves to the young one, and the old one goes when that is full.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import regex
 
-#: Words that a worker's cache holds before it is emptied.
-CACHE_WORDS = 1_000_000
+#: Bytes of one generation of a cache, with ENTRY_BYTES for an entry's objects; longer words are encoded each time.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 40_000_000, 150, 64
 VOCABULARY = "word_bpe_49k.json"
 
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -33,7 +37,31 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-class _Words(dict):
+class Recent(dict):
+    """What ``make`` gives for a key, kept for the keys asked for of late."""
+
+    def __init__(self, make: Callable, most: int = CACHE_BYTES):
+        self.make, self.most, self.old, self.held = make, most, {}, 0
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > LONGEST:
+                return got
+        self.held += ENTRY_BYTES + len(key) + len(got)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[key] = got
+        return got
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _Words(Recent):
     """word bytes -> its ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
@@ -45,28 +73,22 @@ class _Words(dict):
         self.library.no_truncation()
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent(self._piece, CACHE_BYTES // 2)
+        super().__init__(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = "".join(map(self.letters.__getitem__, piece.encode()))
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            self.pieces[piece] = got
-        return got
+        if not (piece.isascii() and piece.isprintable()):
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return _packed([t.id for t in self.model.tokenize(piece)])
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(self.pieces) >= CACHE_WORDS:
-            self.pieces.clear()
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters: a single piece
+            return self._piece(word.decode("ascii").lower())
         text = word.decode("utf-8", "replace")
-        if b"<|" in word or ord(max(text)) > 255:  # special tokens, composed and unusual characters: all by the library
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join(map(self._piece, _LATIN.findall(text.lower())))
-        self[word] = ids
-        return ids
+        if b"<|" in word or not (text.isascii() or ord(max(text)) < 256):  # special tokens, composed and unusual characters: all by the library
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
+        found = _ASCII.findall(text.lower()) if text.isascii() and text.isprintable() else _LATIN.findall(text.lower())
+        return b"".join(map(self.pieces.__getitem__, found))
 
 
 @lru_cache(maxsize=2)
