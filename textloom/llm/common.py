@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -84,13 +86,37 @@ def blobs(array: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a Python worker waits for further tasks with what it has."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves no freed memory behind in its worker."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 #: Bytes of a column that are worked on at once, except for a single longer value.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a binary or text column holds about ``most`` bytes."""
     for batch in batches:
+        if not len(batch):
+            continue
         off, _ = buffer_of(batch.column(column))
         lo = 0
         while lo < len(batch):
