@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,32 +37,115 @@ def cut_words(text: str) -> list[str]:
     return text.split(CUT)
 
 
+#: The pieces between the cuts of RULES, but for the rule of fs, which is applied to the pieces that hold it.
+_PIECE = re.compile(r"[0-9]+|[A-Z]*[a-z]+|[A-Z]+|[^A-Za-z0-9\s]")
+_BEFORE_FS = re.compile("([a-z])(fs)")
+
+
+def _spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the words that ``cut_words`` gives, found in one pass over a whole text."""
+    for m in _PIECE.finditer(text):
+        b, e = m.span()
+        if e - b > 2 and "fs" in m[0]:
+            for cut in _BEFORE_FS.finditer(m[0]):
+                yield b, m.start() + cut.start(2)
+                b = m.start() + cut.start(2)
+        yield b, e
+
+
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs: list = []
+    counts: list[int] = []
+    sents, toks, words, begins, ends = [], [], [], [], []
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at = tok = 0
-            for sent, s in enumerate(cut_sentences((text or "").replace(CUT, " ").replace(BREAK, " "))):
-                for w in cut_words(s):
-                    if w and not w.isspace():
-                        for c, v in zip(cols, (doc, sent, tok, w, at, at + len(w))):
-                            c.append(v)
-                        tok += 1
-                    at += len(w)
-            if len(cols[0]) > 50_000:
-                yield _tokens(cols)
-                cols = [[] for _ in range(6)]
-        yield _tokens(cols)
+            text = (text or "").replace(CUT, " ").replace(BREAK, " ")
+            spans = list(_spans(text))
+            if spans:
+                b, e = map(np.array, zip(*spans))
+                breaks = [m.end() for m in _SENTENCE.finditer(text)]
+                docs.append(doc)
+                counts.append(len(spans))
+                words += [text[i:j] for i, j in spans]
+                begins.append(b)
+                ends.append(e)
+                sents.append(np.searchsorted(breaks, b, "right") if breaks else np.zeros(len(b), np.int64))
+                toks.append(np.arange(len(b)))
+            if len(words) > 50_000:
+                yield _tokens(docs, counts, sents, toks, words, begins, ends)
+                docs, counts, sents, toks, words, begins, ends = [], [], [], [], [], [], []
+    if words:
+        yield _tokens(docs, counts, sents, toks, words, begins, ends)
+
+
+def _tokens(docs: list, counts: list[int], sents: list, toks: list, words: list[str], begins: list, ends: list) -> pa.RecordBatch:
+    ids = pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(docs)), counts)))
+    small = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+    return pa.RecordBatch.from_arrays([ids, small(sents), small(toks), pa.array(words, pa.string()), small(begins), small(ends)], TOKENS)
+
 
+TOKENS = ["doc_id", "sent_id", "tok_id", "word", "b", "e"]
+_TOKEN_ROWS = "doc_id long, sent_id int, tok_id int, word string, b int, e int"
 
-def _tokens(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "sent_id", "tok_id", "word", "b", "e"])
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows over all cores where a few files would keep them in a few tasks; many files stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, sent_id, tok_id, word, b, e (offsets in code points); no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_token_batches, "doc_id long, sent_id int, tok_id int, word string, b int, e int")
+    """documents -> doc_id, sent_id, tok_id, word, b, e (offsets in code points); no shuffle, but for a few files of many rows."""
+    return spread(docs.select("doc_id", "text")).mapInArrow(_token_batches, _TOKEN_ROWS)
+
+
+def tokens_by(docs: DataFrame, sentences: Callable[[str], Iterable[str]], words: Callable[[str], Iterable[str]]) -> DataFrame:
+    """The same by any splitter and tokenizer: each word is looked for from the end of the one before; blank words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in TOKENS]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = tok = 0
+                for sent, s in enumerate(sentences(text or "")):
+                    for w in words(s):
+                        if w and not w.isspace() and (found := (text or "").find(w, at)) >= 0:
+                            for c, v in zip(cols, (doc, sent, tok, w, found, found + len(w))):
+                                c.append(v)
+                            at, tok = found + len(w), tok + 1
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], TOKENS)
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, _TOKEN_ROWS)
+
+
+_ABBREVIATED = frozenset("dr mr mrs ms prof st vs etc al fig figs eq eqs ref refs no nos vol pp ed eds inc ltd co corp jr sr approx ca cf e.g i.e u.s jan feb mar apr jun jul aug sep sept oct nov dec".split())
+_STOP = re.compile(r"[.!?]+[\"')\]]*(?=\s+[\"'(\[]?[A-Z0-9])")
+
+
+def sentences_of_prose(text: str) -> list[str]:
+    """Sentences without the space around them: a stop before a capital or a digit ends one, but not after an abbreviation or an initial."""
+    out, begin = [], 0
+    for m in _STOP.finditer(text):
+        before = re.search(r"(\S+)$", text[max(begin, m.start() - 20) : m.start()])
+        word = before[1].lower().lstrip("([\"'") if before else ""
+        if m[0].startswith(".") and len(m[0].rstrip("\"')]")) == 1 and (word in _ABBREVIATED or len(word) == 1 and word.isalpha()):
+            continue
+        out.append(text[begin : m.end()].strip())
+        begin = m.end()
+    out.append(text[begin:].strip())
+    return [s for s in out if s]
+
+
+_TREE = re.compile(
+    r"\.{3}|--|[A-Za-z]+(?=n't\b)|n't\b|'(?:s|m|d|ll|re|ve)\b|[A-Z](?:\.[A-Z])+\.?|\d+(?:[.,]\d+)*|[^\W\d_](?:[\w-]|\.(?=\w))*?(?=n't\b|'(?:s|m|d|ll|re|ve)\b)|[^\W_](?:[\w/-]|[.'](?=\w))*|\S",
+    re.I,
+)
+
+
+def words_of_prose(sentence: str) -> list[str]:
+    """Words in the manner of treebanks: contractions and punctuation apart, inner hyphens and points kept. Quotes stay as written."""
+    return _TREE.findall(sentence)
 
 
 def words_only(text: Column) -> Column:
@@ -145,6 +229,12 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
 
+def with_stems(tokens: DataFrame) -> DataFrame:
+    """Adds the stem of each word, computed once for each different word."""
+    stems = tokens.select("word").distinct().withColumn("stem", stem_of("word"))
+    return tokens.join(stems, "word", "left").select(*tokens.columns, "stem")
+
+
 def stem_of(word: Column | str) -> Column:
     """Stems in Arrow batches; call it on distinct words."""
     return F.pandas_udf(_stems, "string")(word)

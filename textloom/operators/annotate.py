@@ -9,32 +9,172 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Characters of a stretch of text: spans that may meet share one, so joins by document and stretch don't grow with a document's square.
+STRETCH = 256
+
+
 def sentence():
     return W.partitionBy("doc_id", "sent_id").orderBy("tok_id")
 
 
+def stretches(b: Column, e: Column) -> Column:
+    """The numbers of all stretches that a span touches."""
+    at = lambda x: F.floor(x / STRETCH).cast("int")
+    return F.sequence(at(b), at(F.greatest(b, e - 1)))
+
 
-def _joined(tokens: DataFrame, entities: DataFrame, on: Column) -> DataFrame:
-    e = entities.select(F.col("doc_id").alias("_doc"), "ent_id", "class_id", F.col("b").alias("eb"), F.col("e").alias("ee"))
-    return tokens.join(e, (F.col("doc_id") == F.col("_doc")) & on, "left").drop("_doc")
+def _near(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds near: the entities (ent_id, class_id, b, e) that touch the stretch where a token begins, in order; null if none does."""
+    near = entities.withColumn("_s", F.explode(stretches(F.col("b"), F.col("e")))).groupBy("doc_id", "_s").agg(F.array_sort(F.collect_list(F.struct("ent_id", "class_id", "b", "e"))).alias("near"))
+    return tokens.withColumn("_s", F.floor(F.col("b") / STRETCH).cast("int")).join(near, ["doc_id", "_s"], "left").drop("_s")
 
 
 def label(tokens: DataFrame, entities: DataFrame, scheme: str = "BIO") -> DataFrame:
     """Adds label. BIO: the first entity wins, B at its start, I inside. BIEO: E where ends meet. IO: the last entity holding the whole token."""
-    b, e, eb, ee = (F.col(c) for c in ("b", "e", "eb", "ee"))
-    tag = lambda x: F.concat(F.lit(x + "-"), F.col("class_id"))
+    b, e = F.col("b"), F.col("e")
+    tag = lambda x, c: F.concat(F.lit(x + "-"), c)
+    keys = ["doc_id", "sent_id", "tok_id", "word", "b", "e"]
+    held = _near(tokens, entities)
+    first = lambda test: F.get(F.filter("near", test), F.lit(0))
     if scheme == "BIO":
-        on, value, best = (b == eb) | ((eb < b) & (b < ee)), F.when(b == eb, tag("B")).otherwise(tag("I")), F.min_by
+        x = first(lambda n: (n["b"] == b) | ((n["b"] < b) & (b < n["e"])))
+        value = F.when(x["b"] == b, tag("B", x["class_id"])).otherwise(tag("I", x["class_id"]))
     elif scheme == "BIEO":
-        on = (b == eb) | ((eb < b) & (e < ee)) | (e == ee)
-        value, best = F.when(b == eb, tag("B")).when((eb < b) & (e < ee), tag("I")).otherwise(tag("E")), F.min_by
+        at_end = entities.groupBy("doc_id", "e").agg(F.min_by(F.struct("ent_id", "class_id"), "ent_id").alias("_end"))
+        held = held.join(at_end, ["doc_id", "e"], "left")
+        x, end = first(lambda n: (n["b"] == b) | ((n["b"] < b) & (e < n["e"]))), F.col("_end")
+        later = x["ent_id"].isNull() | (end["ent_id"] < x["ent_id"])
+        value = F.when(end.isNotNull() & later, tag("E", end["class_id"])).when(x["b"] == b, tag("B", x["class_id"])).otherwise(tag("I", x["class_id"]))
     elif scheme == "IO":
-        on, value, best = (eb <= b) & (e <= ee), tag("I"), F.max_by
+        x = F.element_at(F.filter("near", lambda n: (n["b"] <= b) & (e <= n["e"])), -1)
+        x = F.when(F.size(F.filter("near", lambda n: (n["b"] <= b) & (e <= n["e"]))) > 0, x)
+        value = tag("I", x["class_id"])
     else:
         raise ValueError(f"unknown scheme {scheme}")
-    keys = ["doc_id", "sent_id", "tok_id", "word", "b", "e"]
-    pairs = _joined(tokens, entities, on).withColumn("_l", F.when(F.col("ent_id").isNotNull(), value))
-    return pairs.groupBy(*keys).agg(F.coalesce(best("_l", "ent_id"), F.lit("O")).alias("label"))
+    return held.select(*keys, F.coalesce(value, F.lit("O")).alias("label"))
+
+
+_REFERENCE, _KIND, _SHIFT, _SNP = "(^[cgrmp]$)|(^(ivs|ex|orf)$)", "(del|ins|dup|tri|qua|con|delins|indel)", "^(fs|fsX|fsx)$", "^(rs|RS|Rs)$"
+_BASES = "^[ATCGUatcgu]+$"
+_RESIDUES = "|".join(["(" + "|".join("glutamine glutamic leucine valine isoleucine lysine alanine glycine aspartate methionine threonine histidine aspartic arginine asparagine tryptophan proline phenylalanine cysteine serine glutamate tyrosine stop frameshift".split()) + ")", "(^(" + "|".join("ala arg asn asp cys fs fsx gln glu gly his ile leu lys met phe pro ser thr trp tyr val".split()) + ")$)", "(^[acdefghiklmnpqrstvwxy]$)"])
+
+
+def tmvar_labels(tokens: DataFrame, entities: DataFrame, class_id: str) -> DataFrame:
+    """Adds the label of a mutation's parts: A reference, T kind, F frame shift, S its place, R SNP, W wild type, M mutant, P place, I other, O outside.
+
+    Wild type and mutant take turns inside a sentence and begin anew after an entity's end; an X after a frame shift is one too; P I P
+    is P P P. All by windows: over a document's tokens inside entities for the word before, over a sentence's for the turns.
+    """
+    b, w = F.col("b"), F.col("word")
+    held = _near(tokens, entities.filter(F.col("class_id") == class_id))
+    held = held.withColumn("_end", F.get(F.filter("near", lambda n: (n["b"] == b) | ((n["b"] < b) & (b < n["e"]))), F.lit(0))["e"]).drop("near")
+    doc, sent = W.partitionBy("doc_id").orderBy("tok_id"), W.partitionBy("doc_id", "sent_id").orderBy("tok_id")
+    own = held.filter(F.col("_end").isNotNull())
+    simple = F.when(w.rlike(_REFERENCE), "A").when(w.rlike(_KIND), "T").when(w.rlike(_SHIFT), "F")
+    # the last word before that isn't an X says whether a row of X goes on with a frame shift
+    chain = F.last(F.when(w != "X", F.coalesce(simple == "F", F.lit(False))), True).over(doc.rowsBetween(W.unboundedPreceding, -1))
+    own = own.withColumn("_after", F.coalesce(chain, F.lit(False)))
+    other = F.when(F.col("_after") & (w == "X"), "F").when(w.rlike(_SNP), "R").when(w.rlike(_BASES) | F.lower("word").rlike(_RESIDUES), "*").when(w.rlike("^[0-9]+$"), F.when(F.col("_after"), "S").otherwise("P")).otherwise("I")
+    own = own.withColumn("_l", F.coalesce(simple, other))
+    own = own.withColumn("_turn", F.coalesce(F.sum((F.col("e") == F.col("_end")).cast("int")).over(sent.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    count = F.sum((F.col("_l") == "*").cast("int")).over(W.partitionBy("doc_id", "sent_id", "_turn").orderBy("tok_id"))
+    own = own.withColumn("_l", F.when(F.col("_l") == "*", F.when(count % 2 == 1, "W").otherwise("M")).otherwise(F.col("_l")))
+    out = tokens.join(own.select("doc_id", "tok_id", "_l"), ["doc_id", "tok_id"], "left").withColumn("_l", F.coalesce("_l", F.lit("O")))
+    between = (F.col("_l") == "I") & (F.lag("_l").over(sent) == "P") & (F.lead("_l").over(sent) == "P")
+    return out.withColumn("label", F.when(F.coalesce(between, F.lit(False)), "P").otherwise(F.col("_l"))).select("doc_id", "sent_id", "tok_id", "word", "b", "e", "label")
+
+
+def entity_at(entities: DataFrame, places: DataFrame) -> DataFrame:
+    """places (doc_id, b) -> the only entity that begins there; null for none or several."""
+    one = entities.groupBy("doc_id", "b").agg(F.count("*").alias("n"), F.min("ent_id").alias("ent_id"))
+    return places.join(one, ["doc_id", "b"], "left").select(*places.columns, F.when(F.col("n") == 1, F.col("ent_id")).alias("ent_id"))
+
+
+def entities_by_sentence(entities: DataFrame) -> DataFrame:
+    """entities with sent_id -> doc_id, sent_id, class_id, ent_ids in order."""
+    return entities.groupBy("doc_id", "sent_id", "class_id").agg(F.array_sort(F.collect_list("ent_id")).alias("ent_ids"))
+
+
+def sentence_strings(tokens: DataFrame) -> DataFrame:
+    """doc_id, sent_id, sentence: its words joined by blanks."""
+    return tokens.groupBy("doc_id", "sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "word"))), lambda t: t["word"]), " ").alias("sentence"))
+
+
+def percolate(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc_id, ent_id, first, last: the tokens that an entity overlaps, found by stretches. Entities without a token have no row."""
+    t = tokens.select("doc_id", "tok_id", F.col("b").alias("tb"), F.col("e").alias("te"), F.explode(stretches(F.col("b"), F.col("e"))).alias("_s"))
+    e = entities.select("doc_id", "ent_id", "b", "e", F.explode(stretches(F.col("b"), F.col("e"))).alias("_s"))
+    over = ((F.col("b") <= F.col("tb")) & (F.col("tb") < F.col("e"))) | ((F.col("tb") <= F.col("b")) & (F.col("b") < F.col("te")))
+    return e.join(t, ["doc_id", "_s"]).filter(over).groupBy("doc_id", "ent_id").agg(F.min("tok_id").alias("first"), F.max("tok_id").alias("last"))
+
+
+def merged_sentences(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """tokens with new sent_id: sentences that one entity spans are one."""
+    span = percolate(tokens, entities)
+    sent = tokens.select("doc_id", "tok_id", "sent_id")
+    ends = span.join(sent.withColumnsRenamed({"tok_id": "first", "sent_id": "s1"}), ["doc_id", "first"]).join(sent.withColumnsRenamed({"tok_id": "last", "sent_id": "s2"}), ["doc_id", "last"])
+    glued = ends.filter("s2 > s1").select("doc_id", F.explode(F.sequence(F.col("s1") + 1, F.col("s2"))).alias("sent_id")).distinct().withColumn("_glued", F.lit(1))
+    sents = tokens.select("doc_id", "sent_id").distinct().join(glued, ["doc_id", "sent_id"], "left")
+    number = F.sum(F.when(F.col("_glued").isNull(), 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("sent_id")) - 1
+    return tokens.join(sents.withColumn("_new", number.cast("int")).drop("_glued"), ["doc_id", "sent_id"]).withColumn("sent_id", F.col("_new")).select(*tokens.columns)
+
+
+def fold_annotators(rows: list[tuple[int, int, str, int, str]], strategy: str, prefer: str) -> list[tuple[int, int, str, int, str]]:
+    """rows (annotator's turn, number, class, start, text) of a part -> the merged ones. Annotators are taken in, one after the other."""
+    same = lambda x, y: x[2] == y[2] and ((x[3], x[4]) == (y[3], y[4]) or (x[3] < y[3] + len(y[4]) and x[3] + len(x[4]) > y[3]))
+    better = (lambda x, y: len(x[4]) < len(y[4])) if prefer == "shortest" else (lambda x, y: len(x[4]) > len(y[4]))
+    turns: dict[int, list] = {}
+    for r in sorted(rows):
+        turns.setdefault(r[0], []).append(r)
+    merged: list = []
+    for n, own in enumerate(turns.values()):
+        if not n:
+            merged = own
+            continue
+        out: list = []
+        left: dict[int, int] = {}
+        right: dict[int, int] = {}
+        for i, x in enumerate(merged):
+            for j, y in enumerate(own):
+                if not same(x, y):
+                    continue
+                pick = x if prefer == "priority" or better(x, y) else y
+                if i not in left and j not in right:
+                    left[i] = right[j] = len(out)
+                    out.append(pick)
+                elif prefer != "priority":
+                    at = left[i] if i in left else right[j]
+                    if better(pick, out[at]):
+                        out[at] = pick
+        if strategy == "union":
+            found = list(out)
+            out += [x for x in [*merged, *own] if not any(same(x, y) for y in found)]
+        merged = out
+    return merged
+
+
+def merge_annotators(entities: DataFrame, strategy: str = "union", prefer: str = "shortest", order: list[str] | None = None) -> DataFrame:
+    """entities (doc_id, part_id, annotator, ent_id, class_id, b, text) of several annotators -> one set (doc_id, part_id, ent_id, class_id, b, e, text).
+
+    union keeps what only one annotator has, intersection doesn't. Of overlapping entities of a class the shortest, the longest or that
+    of the annotator first in ``order`` (priority) stays. Folded in Arrow batches, a part at a time.
+    """
+    import pyarrow as pa
+
+    if strategy not in ("union", "intersection") or prefer not in ("shortest", "longest", "priority"):
+        raise ValueError("strategy is union or intersection, prefer is shortest, longest or priority")
+    turn = F.array_position(F.array(*map(F.lit, order)), F.col("annotator")) if order else F.dense_rank().over(W.partitionBy("doc_id", "part_id").orderBy("annotator"))
+    rows = entities.withColumn("turn", turn.cast("int")).filter("turn > 0").select("doc_id", "part_id", "turn", "ent_id", "class_id", "b", "text")
+
+    def run(key, t):
+        got = fold_annotators(list(zip(*(t.column(c).to_pylist() for c in ("turn", "ent_id", "class_id", "b", "text")))), strategy, prefer)
+        cols = list(zip(*got)) if got else [[]] * 5
+        own = [pa.array([k.as_py()] * len(got), t.schema.field(c).type) for k, c in zip(key, ("doc_id", "part_id"))]
+        ends = [b + len(x) for b, x in zip(cols[3], cols[4])]
+        return pa.Table.from_arrays([*own, pa.array(range(len(got)), pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(ends, pa.int32()), pa.array(cols[4], pa.string())], ["doc_id", "part_id", "ent_id", "class_id", "b", "e", "text"])
+
+    kinds = dict(entities.dtypes)
+    return rows.groupBy("doc_id", "part_id").applyInArrow(run, f"doc_id {kinds['doc_id']}, part_id {kinds['part_id']}, ent_id int, class_id string, b int, e int, text string")
 
 
 def decode(labelled: DataFrame, docs: DataFrame, confidence: str | None = None, breaks: tuple[str, ...] = ("B", "A")) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .annotate import stretches
+
 COUNTS = ("tp", "fp", "fn", "fp_ov", "fn_ov")
 
 
@@ -13,10 +17,11 @@ def _flags(mine: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of mine with whether other has an equal row and whether an equal row of mine overlaps one of other that isn't equal."""
     keys = ["doc_id", "class_id", "b", "e", "text"]
     exact = other.select(*keys).distinct().withColumn("exact", F.lit(True))
-    o = other.select(F.col("doc_id").alias("_d"), F.col("class_id").alias("_c"), F.col("b").alias("_b"), F.col("e").alias("_e"), F.col("text").alias("_t")).distinct()
+    # what overlaps shares a stretch of text, so the join's key holds that too
+    o = other.select(F.col("doc_id").alias("_d"), F.col("class_id").alias("_c"), F.col("b").alias("_b"), F.col("e").alias("_e"), F.col("text").alias("_t")).distinct().withColumn("_o", F.explode(stretches(F.col("_b"), F.col("_e"))))
     same = (F.col("b") == F.col("_b")) & (F.col("text") == F.col("_t"))
-    over = (F.col("doc_id") == F.col("_d")) & (F.col("class_id") == F.col("_c")) & (F.col("b") < F.col("_e")) & (F.col("e") > F.col("_b")) & ~same
-    near = mine.select(*keys).distinct().join(o, over, "left_semi").withColumn("over", F.lit(True))
+    over = (F.col("doc_id") == F.col("_d")) & (F.col("class_id") == F.col("_c")) & (F.col("_s") == F.col("_o")) & (F.col("b") < F.col("_e")) & (F.col("e") > F.col("_b")) & ~same
+    near = mine.select(*keys).distinct().withColumn("_s", F.explode(stretches(F.col("b"), F.col("e")))).join(o, over, "left_semi").select(*keys).distinct().withColumn("over", F.lit(True))
     return mine.join(exact, keys, "left").join(near, keys, "left")
 
 
@@ -80,23 +85,102 @@ def equal_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def normalized(norms: Column, norm: str, text: Column, unknown: str = "soft") -> Column:
-    """An entity's key by a norm; where that is missing: hard (unique), soft (lower-cased text), softest or agnostic (empty), no (null)."""
-    other = {"hard": F.uuid(), "soft": F.lower(text), "softest": F.lit(""), "agnostic": F.lit(""), "no": F.lit(None).cast("string")}[unknown]
-    return F.coalesce(F.try_element_at(norms, F.lit(norm)), other)
+    """An entity's key 'norm|value'; where the value is missing: hard (unique), soft (lower-cased text), softest (alike), agnostic (empty), no (null key)."""
+    mark = lambda x: F.concat(F.lit("UNKNOWN:"), x)
+    other = {"hard": mark(F.uuid()), "soft": mark(F.lower(text)), "softest": mark(F.lit("")), "agnostic": F.lit(""), "no": F.lit(None).cast("string")}[unknown]
+    return F.concat(F.lit(norm + "|"), F.coalesce(F.try_element_at(norms, F.lit(norm)), other))
+
+
+def entity_key(class_id: Column, b: Column, e: Column, norm: Column, text: Column | None = None) -> Column:
+    """'class|start,end[,text]|norm', null where the norm is."""
+    place = [b.cast("string"), e.cast("string"), *([text] if text is not None else [])]
+    return F.concat(class_id, F.lit("|"), F.array_join(F.array(*place), ","), F.lit("|"), norm)
+
+
+def accept_overlapping(g: Column, p: Column) -> Column:
+    """Whether two entity keys are of one class and their places overlap."""
+    part = lambda k, i: F.split_part(F.split_part(k, F.lit("|"), F.lit(2)), F.lit(","), F.lit(i)).cast("int")
+    return (F.split_part(g, F.lit("|"), F.lit(1)) == F.split_part(p, F.lit("|"), F.lit(1))) & (part(g, 1) < part(p, 2)) & (part(g, 2) > part(p, 1))
+
+
+def accept_exact(g: Column, p: Column) -> Column:
+    """Whether two entity keys are of one class and place."""
+    return F.substring_index(g, "|", 2) == F.substring_index(p, "|", 2)
 
 
-def standard_errors(counts: DataFrame, draws: int = 1000, share: float = 0.15, seed: int = 17, order: Column | None = None) -> DataFrame:
+def standard_errors(counts: DataFrame, draws: int = 1000, share: float = 0.15, seed: int = 17, order: Column | None = None, span: int = 1 << 32, ranges: int = 1024) -> DataFrame:
     """counts per document (tp, fp, fn): precision, recall and F of all documents with their standard errors over ``draws`` samples without replacement.
 
-    The draws are numbered 1 to ``draws``: each document meets each draw once, a fixed factor, and each draw is ranked alone.
+    A draw takes the documents that come first by ``order``, whole numbers from 0 to ``span``. Counts are summed by draw and range of the
+    order where they are read; only the documents of the range in which a draw ends are ranked.
     """
-    numbers = counts.sparkSession.range(1, draws + 1).withColumnRenamed("id", "draw")
-    key = order if order is not None else F.xxhash64("doc_id", "draw", F.lit(seed))
-    total = counts.agg(F.count("*").alias("n"))
-    ranked = counts.crossJoin(F.broadcast(numbers)).withColumn("k", F.row_number().over(W.partitionBy("draw").orderBy(key, "doc_id")))
-    some = ranked.crossJoin(F.broadcast(total)).filter(F.col("k") <= F.bround(F.col("n") * share))
+    key = order if order is not None else F.pmod(F.xxhash64("doc_id", "draw", F.lit(seed)), F.lit(span))
     rates = lambda d: measures(d.withColumns({"fp_ov": F.lit(0), "fn_ov": F.lit(0)}))
-    each = rates(some.groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
-    whole = rates(counts.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))).select(*(F.col(c).alias(c[0] + "0") for c in ("precision", "recall", "f_measure")))
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_h", key).withColumn("_r", F.floor(F.col("_h") * ranges / span).cast("int"))
+    cells = drawn.groupBy("draw", "_r").agg(F.count("*").alias("n"), *sums)
+    need = F.bround(F.sum("n").over(W.partitionBy("draw")) * share)
+    before = F.coalesce(F.sum("n").over(W.partitionBy("draw").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"_left": need - before})
+    whole_cells = cells.filter("n <= _left").select("draw", "tp", "fp", "fn")
+    ends = cells.filter("_left > 0 AND n > _left").select("draw", "_r", "_left")  # at most one a draw
+    rest = drawn.join(ends, ["draw", "_r"]).withColumn("k", F.row_number().over(W.partitionBy("draw").orderBy("_h", "doc_id"))).filter("k <= _left").select("draw", "tp", "fp", "fn")
+    taken = whole_cells.unionByName(rest.select("draw", *(F.col(c).cast("long") for c in ("tp", "fp", "fn"))))
+    all_draws = counts.sparkSession.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"))
+    each = rates(all_draws.join(taken, "draw", "left").groupBy("draw").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))))
+    whole = rates(counts.agg(*sums)).select(*(F.col(c).alias(c[0] + "0") for c in ("precision", "recall", "f_measure")))
     se = lambda c: F.sqrt(F.sum(F.pow(F.col(c) - F.col(c[0] + "0"), 2)) / (draws - 1)) / F.sqrt(F.lit(float(draws)))
-    return each.crossJoin(F.broadcast(whole)).groupBy("p0", "r0", "f0").agg(*(se(c).alias(c + "_se") for c in ("precision", "recall", "f_measure"))).withColumnsRenamed({"p0": "precision", "r0": "recall", "f0": "f_measure"})
+    large = lambda c: F.when(c <= 1e-5, c * 4).otherwise(c)
+    out = each.crossJoin(F.broadcast(whole)).groupBy("p0", "r0", "f0").agg(*(large(se(c)).alias(c + "_se") for c in ("precision", "recall", "f_measure")))
+    return out.withColumnsRenamed({"p0": "precision", "r0": "recall", "f0": "f_measure"})
+
+
+def merge_disjoint(parts: list[DataFrame], label: str = "class_id") -> DataFrame:
+    """``merge`` of evaluations of different documents; fails when two hold the same one."""
+    keyed = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    both = keyed[0]
+    for k in keyed[1:]:
+        both = both.unionByName(k)
+    n = F.count_distinct("_part").alias("_n")
+    once = both.groupBy(label, "doc_id").agg(n, *(F.sum(c).alias(c) for c in COUNTS))
+    return once.withColumn("_n", F.assert_true(F.col("_n") == 1, F.lit("evaluations share a document"))).drop("_n")
+
+
+def cross_validate(roles: DataFrame, k: int, train: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], evaluate: Callable[[DataFrame], DataFrame], use: str = "validation") -> DataFrame:
+    """roles (doc_id, fold, role). For each fold: train gets the ids of its training documents and gives a function from documents to predictions,
+    evaluate turns these into counts (class_id, doc_id, tp, ...). The folds' counts, merged. The loop is over the k folds."""
+    parts = []
+    for f in range(k):
+        own = roles.filter(F.col("fold") == f)
+        apply = train(own.filter("role = 'train'").select("doc_id"))
+        parts.append(evaluate(apply(own.filter(F.col("role") == use).select("doc_id"))))
+    return merge_disjoint(parts)
+
+
+def formatted(measured: DataFrame, label: str = "class_id", se: bool = False) -> DataFrame:
+    """One line a row: label, counts and the measures with four digits, tab-separated; with ``se`` that of F too."""
+    numbers = ["precision", "recall", "f_measure", *(["f_measure_se"] if se else [])]
+    return measured.select(F.concat_ws("\t", F.col(label), *(F.col(c).cast("string") for c in COUNTS), *(F.format_string("%6.4f", F.col(c).cast("double")) for c in numbers)).alias("line"))
+
+
+def header(strictness: str = "exact", se: bool = False) -> str:
+    mark = strictness[0].lower() + "|"
+    return "\t".join(["# class", *COUNTS, *(mark + c for c in ("P", "R", "F", *(("F_SE",) if se else ())))])
+
+
+def trimmed(value: Column, se: Column) -> Column:
+    """A measure in percent with as many digits as its standard error has a first digit that isn't 0 for, and that error cut alike, as 'value +- se'."""
+    text = F.format_string("%5.3f", se * 100)
+    digits = F.regexp_replace(text, r"[^0-9]", "")
+    zeros = F.length(digits) - F.length(F.regexp_replace(digits, "^0+", ""))
+    zeros = F.when(F.regexp_replace(digits, "^0+", "") == "", F.lit(0)).otherwise(zeros)
+    zeros = F.greatest(F.lit(1), zeros)
+    cut = F.substring(text, F.lit(1), F.instr(text, ".") + zeros)
+    places = F.when(zeros == 1, F.format_string("%6.1f", value * 100)).when(zeros == 2, F.format_string("%6.2f", value * 100)).otherwise(F.format_string("%6.3f", value * 100))
+    return F.concat(F.substring(places, 1, 6), F.lit(" +- "), cut)
+
+
+def means(values: DataFrame, column: str) -> DataFrame:
+    """arithmetic and harmonic mean of a column."""
+    x = F.col(column).cast("double")
+    return values.agg(F.avg(x).alias("arithmetic"), (F.count(x) / F.sum(1.0 / x)).alias("harmonic"))

@@ -17,8 +17,9 @@ def binary(tokens: DataFrame, name: str, test: Column) -> DataFrame:
     return tokens.withColumn(name, F.when(test, F.lit(True)))
 
 
-def window(tokens: DataFrame, columns: list[str], template: tuple[int, ...] = (-2, -1, 1, 2)) -> DataFrame:
-    """name -> name[k] of the neighbour at k in the sentence, null where there is none."""
+def window(tokens: DataFrame, columns: list[str], template: tuple[int, ...] = (-2, -1, 1, 2), include: list[str] | None = None) -> DataFrame:
+    """name -> name[k] of the neighbour at k in the sentence, null where there is none; with ``include`` only for the columns listed in it."""
+    columns = [c for c in columns if include is None or c in include]
     return tokens.withColumns({f"{c}[{k}]": F.lead(c, k).over(sentence()) if k > 0 else F.lag(c, -k).over(sentence()) for c in columns for k in template})
 
 
@@ -48,6 +49,29 @@ def scaled(vectors: DataFrame, add: float = 0.0, times: float = 1.0) -> DataFram
     return vectors.withColumn("embedding", F.transform("embedding", lambda x: (x.cast("double") + add) * times))
 
 
+def plain(word: Column) -> Column:
+    """A word as lists of embeddings have it: lower case, digits as 0."""
+    return F.lower(F.regexp_replace(word, "[0-9]", "0"))
+
+
+def word_embeddings(tokens: DataFrame, vectors: DataFrame, width: int, add: float = 0.0, times: float = 1.0) -> DataFrame:
+    """vectors (word, embedding): adds embedding_i, scaled, of the words that are listed; null for others."""
+    j = tokens.join(vectors.select(F.col("word").alias("_w"), "embedding"), plain(F.col("word")) == F.col("_w"), "left")
+    return j.withColumns({f"embedding_{i}": (F.get("embedding", F.lit(i)).cast("double") + add) * times for i in range(width)}).drop("_w", "embedding")
+
+
+def external_labels(tokens: DataFrame, lines: DataFrame, system: str, labels: list[str], weight: float = 1.0) -> DataFrame:
+    """lines (ord, label, probability) in the order of all tokens: adds 'system-label' = weight * probability, null for other labels.
+
+    A token's number is its place in its document plus the tokens of all documents before, one small row a document.
+    """
+    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    starts = sizes.select("doc_id", F.coalesce(F.sum("_n").over(W.orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    at = F.row_number().over(W.partitionBy("doc_id").orderBy("tok_id")) - 1
+    j = tokens.withColumn("_k", at).join(starts, "doc_id").withColumn("_ord", F.col("_s") + F.col("_k")).join(lines.withColumnRenamed("ord", "_ord"), "_ord", "left")
+    return j.select(*tokens.columns, *(F.when(F.col("label") == x, weight * F.col("probability")).alias(f"{system}-{x}") for x in labels))
+
+
 def discrete(vectors: DataFrame, bins: int = 300) -> DataFrame:
     """Bin of every component over the range of all components, from 1; the largest falls in bins + 1."""
     span = vectors.select(F.min(F.array_min("embedding")).cast("double").alias("lo"), F.max(F.array_max("embedding")).cast("double").alias("hi"))

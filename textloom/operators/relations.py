@@ -12,11 +12,14 @@ def edges(entities: DataFrame, class1: str, class2: str, distance: int | None =
     """Pairs of a class-1 and a class-2 entity of a document, by offset, whose sentences lie ``distance`` apart (None: any)."""
     one, two = (entities.filter(F.col("class_id") == c).select("doc_id", *(F.col(x).alias(x + s) for x in _SIDES)) for c, s in ((class1, "_p"), (class2, "_q")))
     gap = F.abs(F.col("sent_id_q") - F.col("sent_id_p"))
-    j = one.join(two, "doc_id").filter(F.col("ent_id_p") != F.col("ent_id_q"))
+    if distance is None:
+        j = one.join(two, "doc_id")
+    else:  # the distance is part of the key, so sentences meet only those that they may
+        away = F.explode(F.array(*(F.col("sent_id_p") + k for k in sorted({distance, -distance})))).alias("sent_id_q")
+        j = one.select("*", away).join(two, ["doc_id", "sent_id_q"])
+    j = j.filter(F.col("ent_id_p") != F.col("ent_id_q"))
     if class1 == class2:
         j = j.filter(F.col("b_p") < F.col("b_q"))
-    if distance is not None:
-        j = j.filter(gap == distance)
     swap = F.struct(F.col("b_p"), F.col("ent_id_p")) > F.struct(F.col("b_q"), F.col("ent_id_q"))
     pick = lambda x, s, o: F.when(swap, F.col(f"{x}_{o}")).otherwise(F.col(f"{x}_{s}")).alias(x + ("1" if s == "p" else "2"))
     return j.select("doc_id", *(pick(x, "p", "q") for x in _SIDES), *(pick(x, "q", "p") for x in _SIDES), gap.alias("distance"))
@@ -96,3 +99,29 @@ def sentence_counts(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "ent_id1", "ent_id2", "b1", "e1", "b2", "e2").agg(
         count(F.col("_b") < F.col("b1")).alias("before"), count((F.col("_b") >= F.col("e1")) & (F.col("_b") < F.col("b2"))).alias("inside"), count(F.col("_b") >= F.col("e2")).alias("after")
     ).select("doc_id", "ent_id1", "ent_id2", "before", "inside", "after")
+
+
+def without_offsets(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc_id, text1, class_id, text2 of each relation (class_id of the relation)."""
+    text = lambda side, name: entities.select("doc_id", F.col("ent_id").alias(side), F.col("text").alias(name))
+    return relations.join(text("e1", "text1"), ["doc_id", "e1"]).join(text("e2", "text2"), ["doc_id", "e2"]).select("doc_id", "text1", "class_id", "text2")
+
+
+def map_relations(relations: DataFrame, key: Column, distance: Column) -> DataFrame:
+    """doc_id, key, distances: those of all relations with the key, in order."""
+    return relations.groupBy("doc_id", key.alias("key")).agg(F.array_sort(F.collect_list(distance)).alias("distances"))
+
+
+def synonyms(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """Pairs (doc_id, ent_id, synonym), in both directions, of entities of one class written Y ( X )."""
+    from .annotate import percolate, sentence
+
+    at = lambda k: F.lag("word", -k).over(sentence())
+    marked = tokens.withColumns({"_prev": F.lag("tok_id", 2).over(sentence()), "_o": at(-1), "_c": at(1), "_sent": F.col("sent_id")})
+    span = percolate(tokens, entities).join(entities.select("doc_id", "ent_id", "class_id"), ["doc_id", "ent_id"])
+    inside = span.join(marked.select("doc_id", F.col("tok_id").alias("first"), "_prev", "_o"), ["doc_id", "first"]).join(marked.select("doc_id", F.col("tok_id").alias("last"), "_c"), ["doc_id", "last"]).filter("_o = '(' AND _c = ')' AND _prev IS NOT NULL")
+    # the token two places before lies in the first entity that holds it
+    holder = span.select("doc_id", F.col("ent_id").alias("_other"), F.col("class_id").alias("_class"), F.explode(F.sequence("first", "last")).alias("_prev"))
+    pairs = inside.join(holder, ["doc_id", "_prev"]).groupBy("doc_id", "ent_id", "class_id").agg(F.min(F.struct("_other", "_class")).alias("x")).filter("x._class = class_id AND x._other <> ent_id")
+    one = pairs.select("doc_id", "ent_id", F.col("x._other").alias("synonym"))
+    return one.unionByName(one.select("doc_id", F.col("synonym").alias("ent_id"), F.col("ent_id").alias("synonym"))).distinct()

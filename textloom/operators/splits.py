@@ -17,9 +17,9 @@ def shuffled(docs: DataFrame, seed: int = 2727) -> DataFrame:
     return docs.sparkSession.createDataFrame([(x, i, len(ids)) for i, x in enumerate(ids)], "doc_id string, ord long, n long")
 
 
-def hashed(docs: DataFrame, order: Column) -> DataFrame:
-    """The same by an expression, for tables whose ids the driver shouldn't hold: ranks inside 4096 hash ranges plus their starts."""
-    keyed = docs.select("doc_id").distinct().withColumn("_h", order).withColumn("_r", F.floor(F.col("_h") / F.lit(2**20)))
+def hashed(docs: DataFrame, order: Column, span: int = 1 << 32, ranges: int = 4096) -> DataFrame:
+    """The same by an expression with whole numbers from 0 to ``span``, for tables whose ids the driver shouldn't hold: ranks inside ranges plus their starts."""
+    keyed = docs.select("doc_id").distinct().withColumn("_h", order).withColumn("_r", F.floor(F.col("_h") * ranges / F.lit(span)))
     inner = keyed.withColumn("_k", F.row_number().over(W.partitionBy("_r").orderBy("_h", "doc_id")))
     sizes = keyed.groupBy("_r").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_r", F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"), F.sum("_n").over(W.partitionBy()).alias("n"))
@@ -51,3 +51,9 @@ def stratified(order: DataFrame, strata: DataFrame, share: float) -> DataFrame:
     lone = j.filter("m = 1").withColumn("i", F.row_number().over(W.orderBy("stratum"))).select("stratum", "i")
     train = F.when(F.col("m") == 1, F.col("i") % 2 == 0).otherwise(F.col("k") <= F.bround(F.col("m") * share))
     return j.join(lone, "stratum", "left").select("doc_id", "stratum", F.when(train, "train").otherwise("test").alias("role"))
+
+
+def fold_split(order: DataFrame, folds: int, fold: int) -> DataFrame:
+    """floor(n / folds) documents test, the fold's; all others train, the remainder of the division in every fold."""
+    size = F.floor(F.col("n") / F.lit(folds))
+    return order.withColumn("role", F.when((F.col("ord") >= size * fold) & (F.col("ord") < size * (fold + 1)), "test").otherwise("train"))

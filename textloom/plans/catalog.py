@@ -395,16 +395,16 @@ def eval_quality_prf(spark, sf):
 
 
 @query("""WITH c AS (SELECT doc_id, CASE WHEN quality = 1 AND n_chars > 500 THEN 1 ELSE 0 END AS tp, CASE WHEN quality = 0 AND n_chars > 500 THEN 1 ELSE 0 END AS fp, CASE WHEN quality = 1 AND n_chars <= 500 THEN 1 ELSE 0 END AS fn FROM labels JOIN documents USING (doc_id)),
-r AS (SELECT c.*, d, row_number() OVER (PARTITION BY d ORDER BY (doc_id * 7919 + d * 104729) % 1000003, doc_id) AS k FROM c, range(1, 101) t(d)), n AS (SELECT count(*) AS n FROM c),
+r AS (SELECT c.*, d, row_number() OVER (PARTITION BY d ORDER BY (doc_id * 7919 + d * 104729) % 1000003, doc_id) AS k FROM c, range(1, 1001) t(d)), n AS (SELECT count(*) AS n FROM c),
 e AS (SELECT d, sum(tp)::DOUBLE / nullif(sum(tp + fp), 0) AS p, sum(tp)::DOUBLE / nullif(sum(tp + fn), 0) AS q FROM r, n WHERE k <= round_even(n * 0.15, 0) GROUP BY d),
 e2 AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, coalesce(2 * p * q / nullif(p + q, 0), 0) AS f FROM e),
 w AS (SELECT sum(tp)::DOUBLE / sum(tp + fp) AS p0, sum(tp)::DOUBLE / sum(tp + fn) AS q0 FROM c), w2 AS (SELECT *, 2 * p0 * q0 / (p0 + q0) AS f0 FROM w)
-SELECT p0 AS precision, q0 AS recall, f0 AS f_measure, round(sqrt(sum((p - p0) ^ 2) / 99) / sqrt(100.0), 9) AS precision_se, round(sqrt(sum((q - q0) ^ 2) / 99) / sqrt(100.0), 9) AS recall_se, round(sqrt(sum((f - f0) ^ 2) / 99) / sqrt(100.0), 9) AS f_measure_se FROM e2, w2 GROUP BY ALL""")
+SELECT p0 AS precision, q0 AS recall, f0 AS f_measure, round(sqrt(sum((p - p0) ^ 2) / 999) / sqrt(1000.0), 9) AS precision_se, round(sqrt(sum((q - q0) ^ 2) / 999) / sqrt(1000.0), 9) AS recall_se, round(sqrt(sum((f - f0) ^ 2) / 999) / sqrt(1000.0), 9) AS f_measure_se FROM e2, w2 GROUP BY ALL""")
 def eval_bootstrap_se(spark, sf):
     j = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     long, good = F.col("n_chars") > 500, F.col("quality") == 1
     c = j.select("doc_id", *(F.when(x, 1).otherwise(0).alias(n) for n, x in (("tp", good & long), ("fp", ~good & long), ("fn", good & ~long))))
-    out = evaluate.standard_errors(c, 100, order=(F.col("doc_id") * 7919 + F.col("draw") * 104729) % 1000003)
+    out = evaluate.standard_errors(c, 1000, order=(F.col("doc_id") * 7919 + F.col("draw") * 104729) % 1000003, span=1000003)
     return out.select("precision", "recall", "f_measure", *(F.round(x, 9).alias(x) for x in ("precision_se", "recall_se", "f_measure_se")))
 
 
@@ -414,7 +414,7 @@ _ORDER = "o AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * 7919) % 100
 
 
 def _order(spark, sf):
-    return splits.hashed(read(spark, sf, "documents"), (F.col("doc_id") * 7919) % 1000003)
+    return splits.hashed(read(spark, sf, "documents"), (F.col("doc_id") * 7919) % 1000003, 1000003)
 
 
 @query(f"WITH {_ORDER}, c AS (SELECT doc_id, least(floor(ord / round_even(n / 5, 0)), 4)::INTEGER AS chunk FROM o) SELECT doc_id, f::INTEGER AS fold, CASE WHEN (chunk - f + 5) % 5 < 3 THEN 'train' WHEN (chunk - f + 5) % 5 = 3 THEN 'validation' ELSE 'test' END AS role FROM c, range(5) t(f)")
@@ -499,3 +499,6 @@ def graph_shortest_path_sentences(spark, sf):
     t, deps = _trees(spark, sf)
     pairs = t.groupBy("doc_id", "sent_id").agg(F.max("k").alias("v")).filter("v > 1").withColumn("u", F.lit(1))
     return graph.shortest_paths(deps, pairs).select("doc_id", "sent_id", (F.size("path") - 1).alias("hops"))
+
+
+from textloom.plans import parsed as _parsed  # noqa: E402, F401, adds its queries
