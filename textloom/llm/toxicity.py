@@ -1,6 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Words over-represented in toxic training documents (a bounded sample of labelled rows) give lexicons.
+1. Words over-represented in toxic training documents (a bounded sample of labelled rows, written once) give lexicons. A family of
+   copies counts as one document.
 2. Lexicons and patterns vote on every document: toxic, clean or no vote. The counts of all documents' vote patterns are summed.
 3. A generative label model is fitted to these counts by expectation maximisation: the class balance and each voter's chances of
    its votes given the class. Voters that agree more than the class explains are correlated; they are joined into cliques, whose
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_text, blobs, buffer_of, table
+from .common import binary_text, blobs, buffer_of, lean, materialize, slices, table
 from .jaccard_join import shingles
 
-#: Labelled documents that may train, lexicon words, and a word's least toxic documents.
-TRAIN_ROWS, STRONG_WORDS, WEAK_WORDS, LEAST = 12_000, 200, 200, 4
+#: Labelled documents that may train, and a word's least toxic documents.
+TRAIN_ROWS, LEAST = 12_000, 4
+#: Documents are counted in parts of this, so that sums are whole numbers and alike in any order.
+UNIT = 1 << 20
 #: A lexicon word's share of the toxic documents, and the standard deviations by which it exceeds chance.
 SHARE, DEVIATIONS = 0.03, 5.0
 SEED_WORDS = frozenset(
@@ -85,38 +88,58 @@ class Lexicon:
             NONE if hit or disguised else CLEAN,
             NONE if hit or weak or len(words) < 60 else CLEAN,
         )
-        return votes, [self.strong[w] for w in strong] + [len(self.strong) + self.weak[w] for w in weak], len(words)
+        return votes, sorted([self.strong[w] for w in strong] + [len(self.strong) + self.weak[w] for w in weak]), len(words)
 
     @property
     def size(self) -> int:
         return len(self.strong) + len(self.weak)
 
 
+@lean
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text, weight) -> (word, clean, toxic): weights of the documents that hold it; all documents' under the empty word."""
     counts: dict[bytes, list[int]] = {}
     rows = [0, 0]
-    for b in batches:
-        for toxic, text in zip(b.column(0).to_pylist(), blobs(b.column(1))):
-            rows[toxic] += 1
+    for b in slices(batches, 1):
+        for toxic, text, weight in zip(b.column(0).to_pylist(), blobs(b.column(1)), b.column(2).to_pylist()):
+            rows[toxic] += weight
             for w in set(text.translate(_SPLIT).split()):
-                if 3 <= len(w) <= 24:
-                    counts.setdefault(w, [0, 0])[toxic] += 1
+                counts.setdefault(w, [0, 0])[toxic] += weight
+        if len(counts) > 200_000:
+            yield _counted(counts)
+            counts = {}
     counts[b""] = rows
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "clean", "toxic"])
+    yield _counted(counts)
 
 
+def _counted(counts: dict[bytes, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "clean", "toxic"])
+
+
+@lean
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a text's smallest shingle hash, which most near copies share: a family of copies trains as one or two texts."""
-    for b in batches:
+    """Adds a text's smallest shingle hash, which most near copies share."""
+    for b in slices(batches, 1):
         off, data = buffer_of(b.column(1))
         bounds, h = shingles(off, data)
         least = [int(h[i]) >> 1 if i < j else -1 for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["toxic", "text", "sketch"])
 
 
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic, text, weight of at most TRAIN_ROWS labelled documents, written once. Copies of a label share the weight of one document."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    sample = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(TRAIN_ROWS)
+    found = docs.join(F.broadcast(sample), "doc_id").select("toxic", binary_text().alias("text"))
+    rows = materialize(found.mapInArrow(_sketched, "toxic int, text binary, sketch long"), "train")
+    alike = rows.groupBy("toxic", "sketch").agg(F.count("*").alias("n"))  # at most TRAIN_ROWS small rows
+    return rows.join(F.broadcast(alike), ["toxic", "sketch"]).select("toxic", "text", F.greatest(F.lit(1), F.floor(F.lit(UNIT) / F.col("n"))).cast("long").alias("weight"))
+
+
 def mine(train: DataFrame) -> Lexicon:
-    """train (toxic int, text binary)."""
-    sums = train.mapInArrow(_words, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """train (toxic int, text binary, weight long)."""
+    sums = train.mapInArrow(_words, "word binary, clean long, toxic long").groupBy("word").agg((F.sum("clean") / UNIT).alias("clean"), (F.sum("toxic") / UNIT).alias("toxic"))
+    sums = materialize(sums, "words")
     all_rows = sums.filter(F.length("word") == 0).first()
     if all_rows is None or not all_rows.toxic or not all_rows.clean:
         return Lexicon({w: i for i, w in enumerate(sorted(SEED_WORDS))}, {})
@@ -125,8 +148,9 @@ def mine(train: DataFrame) -> Lexicon:
     chance = (F.col("toxic") + F.col("clean")) * F.lit(all_rows.toxic / (all_rows.toxic + all_rows.clean))
     least = max(LEAST, SHARE * all_rows.toxic)
     rated = sums.filter((F.length("word") > 0) & (F.col("toxic") >= least) & ((F.col("toxic") - chance) / F.sqrt(chance) >= DEVIATIONS)).withColumn("lift", lift)
-    strong = rated.filter("lift >= 12").orderBy(F.desc("toxic"), "word").limit(STRONG_WORDS).collect()
-    weak = rated.filter("lift >= 3 AND lift < 12").orderBy(F.desc("toxic"), "word").limit(WEAK_WORDS).collect()
+    # the words of a bounded sample, each in LEAST documents or more
+    strong = rated.filter("lift >= 12").orderBy(F.desc("toxic"), "word").collect()
+    weak = rated.filter("lift >= 3 AND lift < 12").orderBy(F.desc("toxic"), "word").collect()
     return Lexicon({bytes(r.word): i for i, r in enumerate(strong)}, {bytes(r.word): i for i, r in enumerate(weak)})
 
 
@@ -200,9 +224,10 @@ def label_model(patterns: dict[tuple[int, ...], int], limit: float = 0.15) -> La
 
 
 def _patterns(lexicon: Lexicon):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in slices(batches, 0):
             for text in blobs(b.column(0)):
                 counts[bytes(lexicon.read(text)[0])] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
@@ -239,13 +264,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps."""
+def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression on weighted soft labels by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        grad = x.T @ ((p - y) * weight) + ridge * w
+        curve = (x * (p * (1 - p) * weight)[:, None]).T @ x + ridge * np.eye(len(w))
         w -= np.linalg.solve(curve, grad)
     return w
 
@@ -255,31 +280,30 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    sample = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(TRAIN_ROWS)
-    # at most TRAIN_ROWS small rows
-    train = docs.join(F.broadcast(sample), "doc_id").select("toxic", binary_text().alias("text"))
-    train = train.mapInArrow(_sketched, "toxic int, text binary, sketch long").dropDuplicates(["sketch"]).drop("sketch")
+    train = training_rows(docs, labels)
     lexicon = mine(train)
     votes = docs.select(binary_text().alias("text")).mapInArrow(_patterns(lexicon), "votes binary, n long")
     patterns = {tuple(bytes(r.votes)): r.n for r in votes.groupBy("votes").agg(F.sum("n").alias("n")).collect()}  # at most 2^9 patterns
     labeller = label_model(patterns)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             got = [_features(lexicon, t) for t in blobs(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([labeller.posterior(v) for v, _, _ in got]), pa.array([a for _, a, _ in got], pa.list_(pa.int32())), pa.array([x for _, _, x in got], pa.list_(pa.float64()))], ["y", "at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([labeller.posterior(v) for v, _, _ in got]), pa.array([a for _, a, _ in got], pa.list_(pa.int32())), pa.array([x for _, _, x in got], pa.list_(pa.float64())), b.column(2)], ["y", "at", "value", "weight"])
 
-    got = train.mapInArrow(rows, "y double, at array<int>, value array<double>").collect()  # at most TRAIN_ROWS short rows
+    found = train.mapInArrow(rows, "y double, at array<int>, value array<double>, weight long")
+    # at most TRAIN_ROWS short rows; equal ones are summed and sorted, so the fit doesn't depend on the order of rows
+    got = sorted(found.groupBy("y", "at", "value").agg(F.sum("weight").alias("weight")).collect())
     width = lexicon.size + len(VOTERS) + 3
     if not got:
         weights = np.zeros(width)
         weights[: lexicon.size], weights[-1] = 4.0, -2.0
         return Model(lexicon, weights)
-    x, y = np.zeros((len(got), width)), np.array([r.y for r in got])
+    x, y, weight = np.zeros((len(got), width)), np.array([r.y for r in got]), np.array([r.weight / UNIT for r in got])
     for i, r in enumerate(got):
         x[i, r.at] = r.value
-    return Model(lexicon, _train(x, y))
+    return Model(lexicon, _train(x, y, weight))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -288,8 +312,9 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = docs.select(*kept).schema.add(name, "double")
     text = kept.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text):
             score = [model.score((t.as_py() or "").encode()) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*kept, name])
 
@@ -299,8 +324,9 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([model.score(t) for t in blobs(b.column(2))], pa.float64())], ["doc_id", "held_out", "score"])
 
     out = docs.select("doc_id", held_out().alias("held_out"), binary_text().alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -309,7 +335,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    return scored(docs, fit(docs, labels), "_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    name = "_toxicity"
+    while name in docs.columns:
+        name = "_" + name
+    return scored(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
