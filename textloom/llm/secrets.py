@@ -37,6 +37,8 @@ CANDIDATE = f"{HEADER}|{PREFIX}[!#$%&*+./0-9:=?@A-Z^_`a-z|~-]{{{VALUE},}}|[A-Za-
 KEEP = "[0-9]|^-----BEGIN |^(?:AKIA|ASIA|gh[a-z]_|sk-|xox[a-z]-|AIza|eyJ)"
 #: Characters of context on each side, and matches of at least 10 characters that cover it.
 CONTEXT, AROUND = 40, 4
+#: Stands around candidates while a text is cut; counts as a blank where a text holds it.
+MARK = "\x1f"
 RUN = 256
 LABELLED_ROWS, TREES, DEPTH, THRESHOLD = 4000, 15, 8, 0.5
 REDACTED = "[SECRET]"
@@ -256,8 +258,10 @@ def held_out_rates(folds: int = 5) -> tuple[float, float]:
 
 def _found(text: Column) -> Column:
     """An array of (c, l, r, at) of all candidates of a text in order; at counts from 0."""
-    text = F.coalesce(text, F.lit(""))
-    cut = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split(text, CANDIDATE, -1).alias("g"))
+    # one pass of the pattern: candidates are put between marks, and every second piece is one
+    marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" ")), CANDIDATE, f"{MARK}$0{MARK}")
+    pieces = F.split(marked, MARK, -1)
+    cut = F.transform(F.array(pieces), lambda x: F.struct(F.filter(x, lambda p, i: i % 2 == 1).alias("c"), F.filter(x, lambda p, i: i % 2 == 0).alias("g")))[0]
 
     # text is g[0] c[0] g[1] c[1] ...; sums of RUN lengths at a time keep the places linear in the number of candidates
     def placed(x: Column) -> Column:
@@ -327,7 +331,7 @@ def _oracle() -> str:
     score = re.sub(r"(?<=[0-9])D\b", "::DOUBLE", forest_sql(list(_default_forest()), list(feats), "f"))
     side = lambda first, last, f: " || ".join(f"coalesce({f}(g, {k}) OVER w, '') || coalesce({f}(m, {k}) OVER w, '')" for k in range(first, last, -1 if f == "lag" else 1))
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '{quoted(CANDIDATE)}') AS ms, string_split_regex(text, '{quoted(CANDIDATE)}') AS gs FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '{quoted(CANDIDATE)}') AS ms, string_split_regex(text, '{quoted(CANDIDATE)}') AS gs FROM (SELECT doc_id, replace(text, chr(31), ' ') AS text FROM documents WHERE text IS NOT NULL)),
 u AS (SELECT row, doc_id, unnest(gs) AS g, unnest(list_concat(ms, [NULL])) AS m, generate_subscripts(gs, 1) AS i FROM d WHERE len(ms) > 0),
 n AS (SELECT *, regexp_replace(m, '^{quoted(PREFIX)}', '') AS c FROM u),
 p AS (SELECT doc_id, m, c, length(m) - length(c) AS named,
