@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import binary_text, buffer_of, materialize, table
+from .common import binary_text, buffer_of, lean, materialize, table
 from .components import components
 
 WORDS = 5
 #: Text bytes worked on at once, except for a longer document; fingerprints of a bucket and shingles of a block, on average.
-CHUNK_BYTES, BUCKET_PRINTS, BLOCK_SHINGLES = 2_000_000, 1_500_000, 400_000
+CHUNK_BYTES, BUCKET_PRINTS, BLOCK_SHINGLES = 1_000_000, 1_500_000, 400_000
 #: Part of the hash space in which the first test counts.
 SPACE = 0.5
 NULL_ID = -(2**63)
@@ -126,6 +126,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             lo = hi
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, bounds, h in _chunks(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -160,6 +161,7 @@ def _prints(keys: np.ndarray, bounds: np.ndarray, h: np.ndarray, buckets: int, s
 
 
 def _prints_of_texts(buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds, h in _chunks(batches):
             yield _prints(_keys(batch.column(0).to_numpy(zero_copy_only=False), signatures(bounds, h)[0]), bounds, h, buckets, SPACE)
@@ -168,6 +170,7 @@ def _prints_of_texts(buckets: int):
 
 
 def _prints_of_sets(buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
@@ -206,6 +209,7 @@ def _need(n1: Column, n2: Column) -> Column:
     return F.ceil((n1 + n2) * 4 / F.lit(9.0))
 
 
+@lean
 def _reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, key) -> (key, h) of the rows whose set has that key."""
     for batch, bounds, h in _chunks(batches):
@@ -265,7 +269,8 @@ def _verify(key, pairs, members):
 def _linked(reps: DataFrame) -> DataFrame:
     """reps (node, w, n, h): classes that may link. -> (node, links, root), a row for each pair of blocks."""
     posts = reps.select("node", "n", F.explode("h").alias("x"))
-    posts = posts.withColumn("df", F.count("*").over(W.partitionBy("x"))).filter("df > 1")
+    # counted before the join, so a passage's shingles are summed in every task and no task gets all documents that have one
+    posts = posts.join(posts.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"), "x")
     within = W.partitionBy("node")
     posts = posts.withColumns({"r": F.count("*").over(within), "k": F.row_number().over(within.orderBy("df", "x"))})
     posts = posts.withColumns({"pos": F.col("n") - F.col("r") + F.col("k"), "own": F.col("n") - F.col("r")})

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import binary_text, blobs, materialize, slices, table
+from .common import binary_text, blobs, lean, materialize, slices, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -72,6 +72,7 @@ def _cut(capacity: int, vocabulary: str):
     end = np.array([END_ID], "<u4").tobytes()
     mix = 0x9E3779B97F4A7C15
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -17,7 +17,7 @@ from functools import lru_cache
 import regex
 
 #: Bytes of one generation of a cache, with ENTRY_BYTES for an entry's objects; longer words are encoded each time.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 40_000_000, 150, 64
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 24_000_000, 150, 64
 VOCABULARY = "word_bpe_49k.json"
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
