@@ -5,7 +5,8 @@ table of prime size is full, so slots are shared evenly to within one turn and f
 has SLOTS rows whatever the data, which bounds what is broadcast; a document's slot is a hash of its id.
 
 Defined cases: a null doc_id has a slot of its own (that of the word null). Equal ids share a shard; ties can't arise. An empty table gives no
-rows. Text may be null (n_chars null). Extra columns pass through ``assign`` untouched.
+rows. Text may be null (n_chars null). Extra columns pass through ``assign`` untouched; columns named slot and shard are those of an
+earlier assignment and are replaced.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 One frequency table, counted over all documents, serves every file. A file holds blocks; a block codes up to BLOCK ids in
 interleaved lanes (id i in lane i mod lanes) whose words share one stream, so a step codes or decodes all lanes at once. Each
 block carries its checksum and, every CHECKPOINT steps, the lanes' states with the place in the stream: decoding can begin at
-any checkpoint of any block, in parallel. The end of a file indexes its blocks and documents.
+any checkpoint of any block, in parallel: a task decodes about READ_BLOCKS blocks. The end of a file indexes its blocks and documents.
 
 Steps: documents are range-partitioned by doc_id and sorted; each task tokenizes its range into a raw segment in the shared
 folder and counts ids; the counts give the table; each raw segment is then coded into a file. Tasks write files of their own
@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import binary_text, blobs, materialize, remove_path, scratch_path, slices, table
+from .common import binary_text, blobs, lean, materialize, remove_path, scratch_path, slices, table
 from .packing import END_ID
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
 BLOCK, LANES, CHECKPOINT = 1 << 19, 1024, 256
+#: Bytes of a generation of the word cache: documents come here in the order of ids, which keeps copies apart.
+CACHE_BYTES = 96_000_000
+#: Blocks that one task decodes, about.
+READ_BLOCKS = 16
 MAGIC = b"TLRANS01"
 VOCABULARY_SIZE = 49408
 
@@ -57,6 +62,11 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def lanes_of(n: int) -> int:
+    """Lanes of a block of n ids."""
+    return max(1, min(LANES, n // 64))
+
+
 class Coder:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
@@ -65,7 +75,7 @@ class Coder:
 
     def encode(self, ids: np.ndarray) -> bytes:
         n = len(ids)
-        lanes = max(1, min(LANES, n // 64))
+        lanes = lanes_of(n)
         steps = -(-n // lanes)
         state = np.full(lanes, LOW, np.uint64)
         f_all, b_all = self.freq[ids], self.base[ids]
@@ -216,22 +226,31 @@ def read_index(path: str) -> tuple[int, np.ndarray, list[int | None], np.ndarray
     return start, blocks, [None if z else int(d) for z, d in zip(null, docs)], np.frombuffer(body, "<u8", nd, o + 9 * nd)
 
 
-def documents_of(path: str, coder: Coder) -> Iterator[tuple[int | None, int, int, int]]:
-    """(doc_id, start, ids, crc32) of each document of a file, decoding block by block."""
+def documents_of(path: str, coder: Coder, part: int = 0, parts: int = 1) -> Iterator[tuple[int | None, int, int, int]]:
+    """(doc_id, start, ids, crc32) of the documents that begin in one of equal parts of a file's ids; decoding begins at the checkpoint before them."""
     at, blocks, docs, sizes = read_index(path)
-    pending = iter(blocks.tolist())
-    have = np.empty(0, np.uint32)
-    for doc, size in zip(docs, sizes.tolist()):
+    ends = np.cumsum(sizes.astype(np.int64))
+    starts = ends - sizes.astype(np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    lo, hi = (int(np.searchsorted(starts, -(-total * p // parts))) if p < parts else len(docs) for p in (part, part + 1))
+    if lo >= hi:
+        return
+    begins = np.concatenate([[0], np.cumsum(blocks[:, 2].astype(np.int64))])
+    block = int(np.searchsorted(begins, starts[lo], "right")) - 1
+    skip = int(starts[lo] - begins[block])
+    first = skip // (CHECKPOINT * lanes_of(int(blocks[block, 2])))
+    have = coder.decode(_read(path, int(blocks[block, 0]), int(blocks[block, 1])), first)
+    have = have[skip - first * CHECKPOINT * lanes_of(int(blocks[block, 2])) :]
+    for doc, start, size in zip(docs[lo:hi], starts[lo:hi].tolist(), sizes[lo:hi].tolist()):
         left, crc = size, 0
         while left:
             if not len(have):
-                place, length, _ = next(pending)
-                have = coder.decode(_read(path, place, length))
+                block += 1
+                have = coder.decode(_read(path, int(blocks[block, 0]), int(blocks[block, 1])))
             crc = zlib.crc32(have[:left].astype("<u4").tobytes(), crc)
             took = min(left, len(have))
             have, left = have[took:], left - took
-        yield doc, at, size, crc
-        at += size
+        yield doc, at + start, size, crc
 
 
 # --- the job ---------------------------------------------------------------------------------------------------------
@@ -242,10 +261,11 @@ _MANIFEST = "part long, path string, n_docs long, n_tokens long, hist binary"
 def _segments(folder: str, vocabulary: str):
     end = np.array([END_ID], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part = wordpieces.words(vocabulary), TaskContext.get().partitionId()
+        cache, part = wordpieces.words(vocabulary, CACHE_BYTES), TaskContext.get().partitionId()
         path, n_docs, n_tokens, hist, out = f"{folder}/{part}-{uuid.uuid4().hex}.raw", 0, 0, np.zeros(VOCABULARY_SIZE, np.int64), None
         for some in slices(batches, 1):
             ids = [wordpieces.encode(cache, t) + end for t in blobs(some.column(1))]
@@ -279,6 +299,7 @@ def _raw(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def _coded(folder: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
@@ -295,25 +316,26 @@ def _coded(folder: str):
 
 
 def _decoded(folder: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for row in batch.to_pylist():
                 coder = coder or Coder(read_table(f"{folder}/table.bin"))
-                cols = list(zip(*documents_of(path, coder)))
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = documents_of(row["path"], coder, row["part"], row["parts"])
+                while rows := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def _spread(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """One task for a few files."""
-    return spark.createDataFrame(rows, schema).repartition(max(1, len(rows)), F.col(schema.split()[0]))
+    """A row in a task of its own."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None) -> list[tuple[str, int]]:
-    """Writes ``folder``: table.bin, part files, MANIFEST.json; the files with their starts in order of doc_id."""
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None) -> list[tuple[str, int, int]]:
+    """Writes ``folder``: table.bin, part files, MANIFEST.json; the files with their starts and blocks in order of doc_id."""
     spark = docs.sparkSession
     raw = scratch_path(spark, "raw")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -331,12 +353,12 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     counts = sum((np.frombuffer(zlib.decompress(r[0]), np.int64) for r in hists), np.zeros(VOCABULARY_SIZE, np.int64))
     write_table(f"{folder}/table.bin", frequencies(counts))
     starts = np.concatenate([[0], np.cumsum([p[2] for p in parts])]).astype(int).tolist()
-    files: list[tuple[str, int]] = []
+    files: list[tuple[str, int, int]] = []
     if parts:
         rows = [(p[0], p[1], s) for p, s in zip(parts, starts)]
         coded = _spread(spark, rows, "part long, path string, start long").mapInArrow(_coded(folder), "part long, path string, n_blocks long, n_bytes long").collect()
-        paths = {r["part"]: r["path"] for r in coded}
-        files = [(paths[p], s) for p, _, s in rows]
+        found = {r["part"]: r for r in coded}
+        files = [(found[p]["path"], s, found[p]["n_blocks"]) for p, _, s in rows]
     with _create(f"{folder}/MANIFEST.json") as f:
         f.write(json.dumps({"files": files, "tokens": starts[-1], "scale": SCALE}).encode())
     remove_path(spark, raw)
@@ -349,7 +371,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
-    return _spread(spark, [(p,) for p, _ in files], "path string").mapInArrow(_decoded(folder), schema)
+    rows = [(path, i, n) for path, _, blocks in files for n in [max(1, -(-blocks // READ_BLOCKS))] for i in range(n)]
+    return _spread(spark, rows, "path string, part long, parts long").mapInArrow(_decoded(folder), schema)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 The vocabulary's normaliser and splitter never join anything across ASCII white space, so the ids of a text are the ids of
 its white-space separated words in order. Each worker keeps a cache from a word's bytes to its ids, so a text costs one
 ``bytes.split`` and one dictionary look-up a word; the library encodes each word that the cache doesn't hold. A cache has two
-generations of at most CACHE_BYTES each: what is asked for again moves to the young one, and the old one goes when that is full.
+generations of at most CACHE_BYTES each, unless an operator names its own: what is asked for again moves to the young one, and the old one goes when that is full.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import regex
 
-#: Bytes of one generation of a cache, with ENTRY_BYTES for an entry's objects; longer words are encoded each time.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 24_000_000, 150, 64
+#: Bytes of one generation of a cache, ENTRY_BYTES of which an entry has at most on average; words over LONGEST are encoded each time.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 24_000_000, 180, 64
 VOCABULARY = "word_bpe_49k.json"
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -40,8 +40,8 @@ def _byte_letters() -> dict[int, str]:
 class Recent(dict):
     """What ``make`` gives for a key, kept for the keys asked for of late."""
 
-    def __init__(self, make: Callable, most: int = CACHE_BYTES):
-        self.make, self.most, self.old, self.held = make, most, {}, 0
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.old = make, most // ENTRY_BYTES, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
@@ -49,9 +49,8 @@ class Recent(dict):
             got = self.make(key)
             if len(key) > LONGEST:
                 return got
-        self.held += ENTRY_BYTES + len(key) + len(got)
-        if self.held > self.most:
-            self.old, self.held = dict(self), 0
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = got
         return got
@@ -64,7 +63,7 @@ def _packed(ids: list[int]) -> bytes:
 class _Words(Recent):
     """word bytes -> its ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,8 +72,8 @@ class _Words(Recent):
         self.library.no_truncation()
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.pieces = Recent(self._piece, CACHE_BYTES // 2)
-        super().__init__(self._word)
+        self.pieces = Recent(self._piece, cache_bytes // 2)
+        super().__init__(self._word, cache_bytes)
 
     def _piece(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isprintable()):
@@ -83,7 +82,7 @@ class _Words(Recent):
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters: a single piece
-            return self._piece(word.decode("ascii").lower())
+            return _packed([t.id for t in self.model.tokenize(word.lower().decode("ascii"))])
         text = word.decode("utf-8", "replace")
         if b"<|" in word or not (text.isascii() or ord(max(text)) < 256):  # special tokens, composed and unusual characters: all by the library
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -92,8 +91,8 @@ class _Words(Recent):
 
 
 @lru_cache(maxsize=2)
-def words(path: str) -> _Words:
-    return _Words(path)
+def words(path: str, cache_bytes: int = CACHE_BYTES) -> _Words:
+    return _Words(path, cache_bytes)
 
 
 def encode(cache: _Words, text: bytes) -> bytes:
