@@ -94,7 +94,7 @@ def _best(q: Side, floor: np.ndarray, c: Side, k: int) -> tuple[np.ndarray, np.n
         if not len(live):
             continue
         bound = q.lead[live] @ c.lead[part].T + q.rest[live, None] * c.rest[part][None] + 1e-9 * q.norm[live, None] * c.norm[part][None]
-        i, j = np.nonzero(bound >= floor[live, None])
+        i, j = np.nonzero(np.maximum(bound, float(LONG[0])) >= floor[live, None])
         i, j = live[i], j + lo
         other = q.ids[i] != c.ids[j]
         i, j = i[other], j[other]
