@@ -117,10 +117,14 @@ def test_jaccard_null_and_repeated_ids(spark):
 
 
 def test_mixing(spark, odd):
-    got = mixing.plan(odd).select("doc_id", "source", "_size", "_source_size", "_target", "_copies").collect()
-    assert len(got) == 12 and all(0 <= r._copies <= 3 for r in got)
-    assert all(r._target <= 3 * r._source_size + 1e-6 for r in got)
-    assert sorted(got, key=repr) == sorted(mixing.plan(odd).select("doc_id", "source", "_size", "_source_size", "_target", "_copies").collect(), key=repr)
+    def planned(d):
+        rows, p = mixing.plan(d)
+        return rows.select("doc_id", "source", *(F.col(p + c).alias(c) for c in ("size", "source_size", "target", "copies"))).collect()
+
+    got = planned(odd)
+    assert len(got) == 12 and all(0 <= r.copies <= 3 for r in got)
+    assert all(r.target <= 3 * r.source_size + 1e-6 for r in got)
+    assert sorted(got, key=repr) == sorted(planned(odd.repartition(5)), key=repr)
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd.limit(0)).count() == 0
 
 
