@@ -119,7 +119,7 @@ def tokens_by(docs: DataFrame, sentences: Callable[[str], Iterable[str]], words:
     return spread(docs.select("doc_id", "text")).mapInArrow(run, _TOKEN_ROWS)
 
 
-_ABBREVIATED = frozenset("dr mr mrs ms prof st vs etc al fig figs eq eqs ref refs no nos vol pp ed eds inc ltd co corp jr sr approx ca cf e.g i.e u.s jan feb mar apr jun jul aug sep sept oct nov dec".split())
+_ABBREVIATED = frozenset("dr mr mrs ms prof st vs etc al fig figs eq eqs ref refs vol pp ed eds inc ltd co corp jr sr approx ca cf e.g i.e u.s jan feb mar apr jun jul aug sep sept oct nov dec".split())
 _STOP = re.compile(r"[.!?]+[\"')\]]*(?=\s+[\"'(\[]?[A-Z0-9])")
 
 
@@ -129,7 +129,7 @@ def sentences_of_prose(text: str) -> list[str]:
     for m in _STOP.finditer(text):
         before = re.search(r"(\S+)$", text[max(begin, m.start() - 20) : m.start()])
         word = before[1].lower().lstrip("([\"'") if before else ""
-        if m[0].startswith(".") and len(m[0].rstrip("\"')]")) == 1 and (word in _ABBREVIATED or len(word) == 1 and word.isalpha()):
+        if m[0].startswith(".") and len(m[0].rstrip("\"')]")) == 1 and (word in _ABBREVIATED or len(word) == 1 and word.isalpha() or word in ("no", "nos") and text[m.end() :].lstrip()[:1].isdigit()):
             continue
         out.append(text[begin : m.end()].strip())
         begin = m.end()
