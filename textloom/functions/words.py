@@ -157,6 +157,16 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
+def _as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+
+
+def once(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows that several branches of a plan read, made once: nothing can be pushed below the pass over them, so their shuffle is the same in all
+    branches and Spark keeps one. For small rows that are dear to make."""
+    return rows.repartition(key).mapInArrow(_as_they_are, rows.schema)
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, sent_id, tok_id, word, b, e (offsets in code points); no shuffle, but for a few files of many rows."""
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_token_batches, _TOKEN_ROWS)
