@@ -157,8 +157,7 @@ def test_paths_are_those_of_one_search_each(spark):
     assert sum(map(len, want.values())) == graph.shortest_paths_in(sentences).count()
 
 
-def test_searches_stop_where_they_end(spark):
-    """A chain of tokens: the search for its second token doesn't go on to the last."""
+def test_a_long_chain_from_end_to_end():
     import numpy as np
 
     from textloom.operators import graph

@@ -93,7 +93,7 @@ def pubtator(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def parse_pubtator(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks (value) of title, abstract and annotation rows -> parts and entities; entities are offset inside their part."""
     lines = blocks.filter(F.trim("value") != "").select(F.split(F.regexp_replace("value", r"^\n+", ""), "\n").alias("l"))
-    docs = lines.select(F.regexp_extract(F.col("l")[0], r"^([^|]*)\|t\|", 1).alias("doc_id"), F.regexp_extract(F.col("l")[0], r"^[^|]*\|t\|(.*)$", 1).alias("title"), F.regexp_extract(F.get("l", F.lit(1)), r"^[^|]*\|a\|(.*)$", 1).alias("abstract"), F.slice("l", 3, 1 << 30).alias("rows"))
+    docs = lines.select(F.regexp_extract(F.col("l")[0], r"^([^|]*)\|t\|", 1).alias("doc_id"), F.regexp_extract(F.col("l")[0], r"(?s)^[^|]*\|t\|(.*)$", 1).alias("title"), F.regexp_extract(F.get("l", F.lit(1)), r"(?s)^[^|]*\|a\|(.*)$", 1).alias("abstract"), F.slice("l", 3, 1 << 30).alias("rows"))
     part = lambda i, c, a: docs.select("doc_id", F.lit(c).alias("part_id"), F.lit(i).alias("part_ord"), F.col(c).alias("text"), F.lit(a).alias("is_abstract"))
     rows = docs.select("doc_id", "title", "abstract", F.posexplode("rows").alias("ent_id", "row")).withColumn("f", F.split("row", "\t")).filter(F.size("f") >= 5)
     start, end, size = F.col("f")[1].cast("int"), F.col("f")[2].cast("int"), F.length("title")
