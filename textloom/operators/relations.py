@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .annotate import STRETCH, stretches
+from .annotate import STRETCH, Find, Held, Wanted, over, stretches
 
 _SIDES = ("ent_id", "class_id", "b", "e", "text", "sent_id")
 
@@ -27,6 +32,102 @@ def edges(entities: DataFrame, class1: str, class2: str, distance: int | None =
     return j.select("doc_id", *(pick(x, "p", "q") for x in _SIDES), *(pick(x, "q", "p") for x in _SIDES), gap.alias("distance"))
 
 
+#: Pairs that are made at once.
+PAIRS = 1 << 20
+
+
+def _expanded(lo: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of ranges that begin at lo: numbers of the ranges and of what is in them, in portions of about PAIRS."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(lo):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = sizes[at:to]
+        yield np.repeat(np.arange(at, to), n), np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = to
+
+
+def _met(h, class1: str, class2: str, distance: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``edges`` among the entities of a batch of texts: numbers of the first ones and of the second ones."""
+    whole = lambda x: h.field[x].to_numpy(zero_copy_only=False).astype(np.int64)
+    of = lambda c: np.flatnonzero(pc.fill_null(pc.equal(h.field["class_id"], c), False).to_numpy(zero_copy_only=False))
+    ent, p, q = whole("ent_id"), of(class1), of(class2)
+    place = h.row if distance is None else (h.row << 33) + whole("sent_id") + (1 << 32)
+    q = q[np.argsort(place[q], kind="stable")]
+    for gap in sorted({distance or 0, -(distance or 0)}):
+        lo, hi = (np.searchsorted(place[q], place[p] + gap, side) for side in ("left", "right"))
+        for one, two in _expanded(lo, hi - lo):
+            one, two = p[one], q[two]
+            kept = ent[one] != ent[two]
+            if class1 == class2:
+                kept &= h.b[one] < h.b[two]
+            one, two = one[kept], two[kept]
+            swap = (h.b[one] > h.b[two]) | ((h.b[one] == h.b[two]) & (ent[one] > ent[two]))
+            yield np.where(swap, two, one), np.where(swap, one, two)
+
+
+_KIND = dict(ent_id="int", class_id="string", b="int", e="int", text="string", sent_id="int")
+
+
+def _sides(h, one: np.ndarray, two: np.ndarray, fields: tuple[str, ...]) -> list[pa.Array]:
+    """The fields of both entities of pairs, and the distance of their sentences."""
+    sent = h.field["sent_id"].to_numpy(zero_copy_only=False)
+    return [*(h.field[x].take(pa.array(side)) for side in (one, two) for x in fields), pa.array(np.abs(sent[two] - sent[one]).astype(np.int32))]
+
+
+def _between(h, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many of the entities of the texts ``at`` lie from lo to hi."""
+    place = lambda row, x: (row << 33) + x + (1 << 32)
+    order = np.argsort(place(h.row, h.b), kind="stable")
+    begins, ends = place(h.row, h.b)[order], place(h.row, h.e)[order]
+    first = np.searchsorted(begins, place(at, lo))
+    if (np.diff(ends) >= 0).all():  # nothing is nested
+        return np.maximum(0, np.searchsorted(ends, place(at, hi), "right") - first)
+    out, sizes = np.zeros(len(at), np.int64), np.maximum(0, np.searchsorted(begins, place(at, hi), "right") - first)
+    for pair, entity in _expanded(first, sizes):
+        np.add.at(out, pair, ends[entity] <= place(at, hi)[pair])
+    return out
+
+
+def edges_in(docs: DataFrame, find: Find, class1: str, class2: str, distance: int | None = None, fields: tuple[str, ...] = _SIDES, between: bool = False) -> DataFrame:
+    """``edges`` of the entities that ``find`` finds in texts, and with ``between`` n_between as the operator of that name counts it; no join, no shuffle."""
+
+    def run(held: Held) -> Iterator[pa.RecordBatch]:
+        for batch, h in held:
+            for one, two in _met(h, class1, class2, distance):
+                n = [pa.array(_between(h, h.row[one], h.e[one], h.b[two]))] if between else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(h.row[one])), *_sides(h, one, two, fields), *n], names)
+
+    names = ["doc_id", *(x + k for k in "12" for x in fields), "distance", *(["n_between"] if between else [])]
+    kinds = ["long", *(_KIND[x] for _ in "12" for x in fields), "int", "long"]
+    return over(docs, find, (), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def pairs_of_sentences(class1: str, class2: str, fields: tuple[str, ...] = _SIDES):
+    """For ``annotate.owned_sentences``: the pairs of ``edges`` of one sentence each, with the text and the number of their sentence."""
+
+    def run(h) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+        met = list(_met(h, class1, class2, 0))
+        one, two = (np.concatenate([x[k] for x in met]) if met else np.zeros(0, np.int64) for k in (0, 1))
+        sent = h.field["sent_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+        return h.row[one], sent[one], pa.StructArray.from_arrays(_sides(h, one, two, fields), names)
+
+    names = [*(x + k for k in "12" for x in fields), "distance"]
+    run.rows = ", ".join(f"{n}: {k}" for n, k in zip(names, [*(_KIND[x] for _ in "12" for x in fields), "int"]))
+    return run
+
+
+def sentences_of_pairs(class1: str, class2: str, distance: int | None = None) -> Wanted:
+    """Says which sentences hold an entity of a pair of ``edges``."""
+
+    def run(h):
+        sent = h.field["sent_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+        sides = [side for pair in _met(h, class1, class2, distance) for side in pair]
+        held = np.unique(np.concatenate([np.unique(h.row[x] << 32 | sent[x]) for x in sides])) if sides else np.zeros(0, np.int64)
+        return held >> 32, held & 0xFFFFFFFF
+
+    return run
+
+
 def combined(generators: list[DataFrame]) -> DataFrame:
     out = generators[0]
     for g in generators[1:]:
