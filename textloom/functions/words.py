@@ -202,6 +202,19 @@ def sentences(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_sentence_batches, "doc_id long, sent_id int, sb int, se int, first int, n_words long")
 
 
+def _string_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        w = cut(batch.column(1))
+        first = np.flatnonzero(np.append(True, (w.row[1:] != w.row[:-1]) | (w.sent[1:] != w.sent[:-1])))[: len(w.row)]
+        said = pc.binary_join(pa.ListArray.from_arrays(small(np.append(first, len(w.row))), w.texts()), " ")
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.row[first])), small(w.sent[first]), said], ["doc_id", "sent_id", "sentence"])
+
+
+def sentence_strings(docs: DataFrame) -> DataFrame:
+    """documents -> doc_id, sent_id, sentence: its words joined by blanks; no row of a token, no shuffle of them."""
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_string_batches, "doc_id long, sent_id int, sentence string")
+
+
 def tokens_by(docs: DataFrame, sentences: Callable[[str], Iterable[str]], words: Callable[[str], Iterable[str]]) -> DataFrame:
     """The same by any splitter and tokenizer: each word is looked for from the end of the one before; blank words are left out."""
 
